@@ -1,0 +1,6 @@
+from pyspark.sql import functions as F
+
+
+def agg_flag_status(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return t.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
