@@ -10,7 +10,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,54 +17,25 @@ from pyspark.sql import functions as F
 from tessera.llm.common import pick, table
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: Words that one Python worker remembers with their ids before it starts anew.
-CACHED_WORDS = 400_000
 _STATE: dict = {}
 
 
-class WordIds(dict):
-    """Ids (little-endian unsigned 32-bit) of a word with the space before it.
+def tokenizer(ranks: str, pattern: str):
+    """A function from text to its ids (little-endian unsigned 32-bit), made once in each worker.
 
-    A byte-level BPE splits at a single space between other characters, so a
-    text's ids are those of its words one after another.
+    Ranks and pattern give the ids of the byte-level BPE that they were taken from, in a third
+    of its time.
     """
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        got = np.asarray(self.encode(" " + word), dtype="<u4").tobytes()
-        if len(word) < 64:
-            self[word] = got
-        return got
-
-
-def tokenizer(ranks: str, pattern: str):
-    """A function from text to its ids as bytes, made once in each worker."""
-    key = (ranks, pattern)
-    if key not in _STATE:
+    if (ranks, pattern) not in _STATE:
         import base64
 
         import tiktoken
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        words = WordIds(encode)
-
-        def ids(text: str) -> bytes:
-            if not text:
-                return b""
-            if "  " in text or text[0] == " " or text[-1] == " ":
-                return np.asarray(encode(text), dtype="<u4").tobytes()
-            first, *rest = text.split(" ")
-            return np.asarray(encode(first), dtype="<u4").tobytes() + b"".join([words[w] for w in rest])
-
-        _STATE[key] = ids
-    return _STATE[key]
+        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_to_numpy
+        _STATE[ranks, pattern] = lambda text: encode(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+    return _STATE[ranks, pattern]
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
@@ -135,17 +105,16 @@ def _tokenized(ranks: str, pattern: str, capacity: int, end_id: int, groups: int
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=names)
 
         rows, held = [], 0
-        for b in batches:
-            for d, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = ids(text.as_py() or "") + end
-                n += 1
-                for at in range(0, len(data), step):
-                    part = data[at : at + step]
-                    rows.append((d, at // 4, len(part) // 4, len(data) // 4, part, zlib.crc32(f"{n if d is None else d} {at} {zlib.crc32(part)}".encode()) % groups))
-                    held += len(part)
-                    if held > 8 << 20:
-                        yield batch(rows)
-                        rows, held = [], 0
+        for d, text in ((d, x) for b in batches for d, x in zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+            data = ids(text.as_py() or "") + end
+            n += 1
+            for at in range(0, len(data), step):
+                part = data[at : at + step]
+                rows.append((d, at // 4, len(part) // 4, len(data) // 4, part, zlib.crc32(f"{n if d is None else d} {at} {zlib.crc32(part)}".encode()) % groups))
+                held += len(part)
+                if held > 8 << 20:
+                    yield batch(rows)
+                    rows, held = [], 0
         if rows:
             yield batch(rows)
 
