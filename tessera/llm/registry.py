@@ -1,8 +1,9 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
+from tessera.llm.media import op1_gif
 from tessera.llm.packing import op6_packing
 from tessera.llm.pii import op5_pii
 from tessera.llm.warc import op3_warc
 
-QUERIES = {"op3_warc": op3_warc, "op5_pii": op5_pii, "op6_packing": op6_packing}
+QUERIES = {"op1_gif": op1_gif, "op3_warc": op3_warc, "op5_pii": op5_pii, "op6_packing": op6_packing}
 ORACLES: dict[str, str] = {}
