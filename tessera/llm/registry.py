@@ -1,10 +1,11 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
 from tessera.llm.langid import op7_langid
+from tessera.llm.lines import op9_lines
 from tessera.llm.media import op1_gif
 from tessera.llm.packing import op6_packing
 from tessera.llm.pii import op5_pii
 from tessera.llm.warc import op3_warc
 
-QUERIES = {"op1_gif": op1_gif, "op3_warc": op3_warc, "op5_pii": op5_pii, "op6_packing": op6_packing, "op7_langid": op7_langid}
+QUERIES = {"op1_gif": op1_gif, "op3_warc": op3_warc, "op5_pii": op5_pii, "op6_packing": op6_packing, "op7_langid": op7_langid, "op9_lines": op9_lines}
 ORACLES: dict[str, str] = {}
