@@ -37,6 +37,8 @@ def stored(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark)
+    # what a finished write has shuffled is of no more use
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     df.write.option("compression", "zstd").parquet(path)
     if keep is not None:
         keep.append(path)

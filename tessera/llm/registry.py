@@ -1,5 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
+from tessera.llm.jaccard import op2_jaccard
 from tessera.llm.langid import op7_langid
 from tessera.llm.lines import op9_lines
 from tessera.llm.media import op1_gif
@@ -8,5 +9,5 @@ from tessera.llm.pii import op5_pii
 from tessera.llm.toxicity import op4_toxicity
 from tessera.llm.warc import op3_warc
 
-QUERIES = {"op1_gif": op1_gif, "op3_warc": op3_warc, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_packing": op6_packing, "op7_langid": op7_langid, "op9_lines": op9_lines}
+QUERIES = {"op1_gif": op1_gif, "op2_jaccard": op2_jaccard, "op3_warc": op3_warc, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_packing": op6_packing, "op7_langid": op7_langid, "op9_lines": op9_lines}
 ORACLES: dict[str, str] = {}
