@@ -1,6 +1,235 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries, each with SQL that gives the same rows."""
 
-from tessera.plans.minimal import agg_flag_status
+from __future__ import annotations
 
-QUERIES = {"agg_flag_status": agg_flag_status}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.core import Collection
+from tessera.operators import relational as rel
+from tessera.streaming import windows
+
+QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    def register(fn):
+        QUERIES[fn.__name__], ORACLES[fn.__name__] = fn, sql
+        return fn
+
+    return register
+
+
+def of(spark: SparkSession, d: str, table: str, *columns: str) -> Collection:
+    df = spark.read.parquet(f"{d}/{table}.parquet")
+    return Collection(df.select(*columns) if columns else df)
+
+
+@query("""select l_returnflag, l_linestatus, count(*) n, cast(sum(cast(l_quantity as bigint)) as bigint) sum_qty, max(l_extendedprice) max_price
+from lineitem group by 1, 2""")
+def agg_flag_status(s, d) -> DataFrame:
+    return of(s, d, "lineitem").group_by("l_returnflag", "l_linestatus").agg(n=F.count(F.lit(1)), sum_qty=F.sum(F.col("l_quantity").cast("long")), max_price=F.max("l_extendedprice")).flatten()
+
+
+@query("select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) net from lineitem where l_quantity >= 45")
+def filter_map(s, d):
+    return of(s, d, "lineitem").filter("l_quantity >= 45").map(l_orderkey="l_orderkey", l_linenumber="l_linenumber", net=F.col("l_extendedprice") * (1 - F.col("l_discount"))).df
+
+
+@query("select word, count(*) as count from (select unnest(string_split(text, ' ')) as word from documents) where word <> '' group by word")
+def flat_map_words(s, d):
+    return of(s, d, "documents", "text").flat_map("word", F.split("text", " ")).filter("word <> ''").group_by("word").count().df
+
+
+@query("select event_type, count(distinct user_id) users from events group by 1")
+def uv_nested_distinct(s, d):
+    return of(s, d, "events").group_by("event_type").apply_values(lambda p: p.distinct_count("user_id", "users")).flatten()
+
+
+@query("""select o_custkey, o_orderkey, o_totalprice from orders
+qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey desc) <= 5""")
+def grouped_top5(s, d):
+    return of(s, d, "orders", "o_custkey", "o_orderkey", "o_totalprice").group_by("o_custkey").top(5, "o_totalprice", "o_orderkey").flatten()
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice, o_orderkey limit 5")
+def global_min5(s, d):
+    return of(s, d, "orders", "o_orderkey", "o_totalprice").top(5, "o_totalprice", "o_orderkey", reverse=False).df
+
+
+@query("""select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) rn,
+count(*) over (partition by o_custkey) n from orders) where rn <= n // 2""")
+def take_scalar_n(s, d):
+    orders = of(s, d, "orders", "o_custkey", "o_orderkey").group_by("o_custkey")
+    half = orders.count("c").map(half=F.floor(F.col("c") / 2))
+    return orders.sort_by("o_orderkey").take(half).flatten()
+
+
+@query("select o_orderkey, c_name, n_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey")
+def join3(s, d):
+    orders = of(s, d, "orders", "o_orderkey", "o_custkey").map(custkey="o_custkey", o_orderkey="o_orderkey")
+    customers = of(s, d, "customer").map(custkey="c_custkey", c_name="c_name", nationkey="c_nationkey")
+    nations = of(s, d, "nation").map(nationkey="n_nationkey", n_name="n_name")
+    return rel.join(rel.join(orders, customers, on=["custkey"]), nations, on=["nationkey"]).map(o_orderkey="o_orderkey", c_name="c_name", n_name="n_name").df
+
+
+def _by_nation(s, d):
+    nations = of(s, d, "nation").filter("n_nationkey < 20").map(k="n_nationkey", n_name="n_name")
+    suppliers = of(s, d, "supplier").filter("s_nationkey > 4").map(k="s_nationkey", s_name="s_name")
+    customers = of(s, d, "customer").filter("c_nationkey > 9 and c_custkey <= 60").map(k="c_nationkey", c_name="c_name")
+    return nations, suppliers, customers
+
+
+_NATION = """with n as (select n_nationkey k, n_name from nation where n_nationkey < 20), s as (select s_nationkey k, s_name from supplier where s_nationkey > 4),
+c as (select c_nationkey k, c_name from customer where c_nationkey > 9 and c_custkey <= 60) """
+
+
+@query(_NATION + "select n.k, n_name, s_name, c_name from n left join s on n.k = s.k left join c on n.k = c.k")
+def left_join_pivot(s, d):
+    return rel.join(*_by_nation(s, d), on=["k"], how="left").df
+
+
+@query(_NATION + "select c.k, n_name, s_name, c_name from c left join s on c.k = s.k left join n on c.k = n.k")
+def right_join_pivot(s, d):
+    return rel.join(*_by_nation(s, d), on=["k"], how="right").df
+
+
+@query(_NATION + "select k, n_name, s_name, c_name from n full join s using (k) full join c using (k)")
+def full_join(s, d):
+    return rel.join(*_by_nation(s, d), on=["k"], how="full").df
+
+
+@query("""select c.c_custkey as key, c.c_acctbal as balance, c.c_name, s.s_name from (select * from customer where c_custkey % 3 = 0) c
+full join (select * from supplier where s_suppkey % 2 = 0) s on c.c_custkey = s.s_suppkey""")
+def schema_join_merge(s, d):
+    a = of(s, d, "customer").filter("c_custkey % 3 = 0").map(key="c_custkey", balance="c_acctbal", c_name="c_name")
+    b = of(s, d, "supplier").filter("s_suppkey % 2 = 0").map(key="s_suppkey", balance="s_acctbal", s_name="s_name")
+    return rel.merge_join(a, b, ["key"], "full").df
+
+
+@query("select c_nationkey as k from customer where c_nationkey not in (select s_nationkey from supplier)")
+def subtract_dups(s, d):
+    return rel.subtract(of(s, d, "customer").map(k="c_nationkey"), of(s, d, "supplier").map(k="s_nationkey")).df
+
+
+@query("select c_nationkey as k from customer intersect select s_nationkey from supplier")
+def intersect(s, d):
+    return rel.intersection(of(s, d, "customer").map(k="c_nationkey"), of(s, d, "supplier").map(k="s_nationkey")).df
+
+
+@query("select c_nationkey as k from customer intersect all select s_nationkey from supplier")
+def intersect_dups(s, d):
+    return rel.intersection(of(s, d, "customer").map(k="c_nationkey"), of(s, d, "supplier").map(k="s_nationkey"), duplicated=True).df
+
+
+@query("""select k, cast(sum(a) as bigint) count_a, cast(sum(b) as bigint) count_b from (select c_nationkey k, 1 a, 0 b from customer union all select s_nationkey, 0, 1 from supplier)
+group by k having sum(a) <> sum(b)""")
+def diff_counts(s, d):
+    return rel.diff(of(s, d, "customer").map(k="c_nationkey"), of(s, d, "supplier").map(k="s_nationkey")).df
+
+
+@query("select o_orderkey as k from orders where o_totalprice > 200000 union all select l_orderkey from lineitem where l_quantity = 50")
+def union_bags(s, d):
+    return rel.union(of(s, d, "orders").filter("o_totalprice > 200000").map(k="o_orderkey"), of(s, d, "lineitem").filter("l_quantity = 50").map(k="l_orderkey")).df
+
+
+@query("""select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')
+and o_custkey not in (select c_custkey from customer where c_nationkey = 3)""")
+def white_black(s, d):
+    customers = of(s, d, "customer").map(o_custkey="c_custkey", c_mktsegment="c_mktsegment", c_nationkey="c_nationkey")
+    white = rel.semi(of(s, d, "orders", "o_orderkey", "o_custkey"), customers.filter("c_mktsegment = 'BUILDING'"), ["o_custkey"])
+    return rel.anti(white, customers.filter("c_nationkey = 3"), ["o_custkey"]).df
+
+
+@query("select l_suppkey, cast(floor(sum(l_linenumber) / count(*)) as bigint) avg_line from lineitem group by 1")
+def floor_avg(s, d):
+    return of(s, d, "lineitem").group_by("l_suppkey").floor_avg("l_linenumber", "avg_line").flatten()
+
+
+@query("select o_custkey, count(*) filter (where o_totalprice > 300000) as count from orders group by 1")
+def empty_group_count(s, d):
+    return of(s, d, "orders", "o_custkey", "o_totalprice").group_by("o_custkey").filter("o_totalprice > 300000").count().flatten()
+
+
+@query("select event_id, user_id, cast(sum(cast(floor(value) as bigint)) over (partition by user_id order by ts, event_id) as bigint) running from events")
+def running_sum(s, d):
+    e = of(s, d, "events").update(v=F.floor("value")).group_by("user_id").sort_by("ts", "event_id").running(running=F.sum("v"))
+    return e.df.select("event_id", "user_id", "running")
+
+
+@query("select r_name, n_name from region, nation")
+def cartesian(s, d):
+    return rel.cartesian(of(s, d, "region", "r_name"), of(s, d, "nation", "n_name")).df
+
+
+@query("select distinct o_custkey, o_orderstatus from orders")
+def distinct_cols(s, d):
+    return of(s, d, "orders", "o_custkey", "o_orderstatus").distinct().df
+
+
+@query("""with a as (select event_type, nullif(event_type, 'click') k, count(*) n from events group by 1, 2), b as (select distinct nullif(event_type, 'click') k from events)
+select a.event_type, a.n from a join b on a.k is not distinct from b.k""")
+def null_key_join(s, d):
+    e = of(s, d, "events").update(k=F.nullif(F.col("event_type"), F.lit("click")))
+    a = Collection(e.group_by("event_type", "k").count("n").df)
+    return rel.join(a, Collection(e.df.select("k").distinct()), on=["k"]).map(event_type="event_type", n="n").df
+
+
+@query("""with recursive e as (select distinct o_custkey % 50 src, o_orderkey % 50 dst from orders), r(i, node, value) as (
+select 0, node, cast(1 as bigint) from (select src node from e union select dst from e) union all
+select i + 1, dst, cast(sum(value) as bigint) from (select r.i, e.dst, r.value from r join e on e.src = r.node where r.i < 3) group by i, dst)
+select node, value from r where i = 3""")
+def pagerank3(s, d):
+    e = of(s, d, "orders").df.select((F.col("o_custkey") % 50).alias("src"), (F.col("o_orderkey") % 50).alias("dst")).distinct()
+    return rel.pagerank(e, 3)
+
+
+@query("""select l_returnflag, l_linestatus, count(*) n, cast(sum(l_linenumber) as bigint) lines from lineitem group by rollup (l_returnflag, l_linestatus)""")
+def rollup_levels(s, d):
+    return of(s, d, "lineitem").df.rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
+@query("select l_suppkey, max(l_extendedprice) max_price, min(l_extendedprice) min_price from lineitem group by 1")
+def max_min(s, d):
+    t = of(s, d, "lineitem").group_by("l_suppkey")
+    return rel.join(Collection(t.max("l_extendedprice", "max_price").df), Collection(t.min("l_extendedprice", "min_price").df), on=["l_suppkey"]).df
+
+
+@query("select n_regionkey, string_agg(n_name, '>' order by n_name) names from nation group by 1")
+def fold_ordered(s, d):
+    t = of(s, d, "nation").group_by("n_regionkey").sort_by("n_name")
+    return t.fold(F.lit(""), lambda acc, x: F.when(acc == "", x).otherwise(F.concat(acc, F.lit(">"), x)), "names", F.col("n_name")).flatten()
+
+
+@query("select o_custkey, o_orderkey, o_totalprice - (select round(max(o_totalprice), 2) from orders) gap from orders where o_totalprice > 400000")
+def scalar_side_input(s, d):
+    orders = of(s, d, "orders", "o_custkey", "o_orderkey", "o_totalprice")
+    top = orders.max("o_totalprice", "top").map(top=F.round("top", 2))
+    return orders.filter("o_totalprice > 400000").with_side(top).map(o_custkey="o_custkey", o_orderkey="o_orderkey", gap=F.col("o_totalprice") - F.col("top")).df
+
+
+@query("""select c_mktsegment, c_nationkey, count(*) as count from customer group by 1, 2""")
+def nested_two_levels(s, d):
+    count = lambda p: p.count()
+    return of(s, d, "customer").group_by("c_mktsegment").apply_values(lambda t: t.group_by("c_nationkey").apply_values(count)).flatten()
+
+
+@query("""select coalesce(a.k, b.k) k, coalesce(a.n, 0) customers, coalesce(b.n, 0) suppliers from (select c_nationkey k, count(*) n from customer where c_nationkey < 15 group by 1) a
+full join (select s_nationkey k, count(*) n from supplier group by 1) b on a.k = b.k""")
+def cogroup_counts(s, d):
+    a, b = rel.cogroup(of(s, d, "customer").filter("c_nationkey < 15").map(k="c_nationkey"), of(s, d, "supplier").map(k="s_nationkey"), on=["k"])
+    return rel.join(Collection(a.count("customers").df), Collection(b.count("suppliers").df), on=["k"]).df
+
+
+@query("select time_bucket(interval '1 hour', ts) window_start, event_type, count(*) n from events group by 1, 2")
+def window_tumbling(s, d):
+    out = windows.tumbling(of(s, d, "events").df, "ts", "1 hour", keys=("event_type",), n=F.count(F.lit(1)))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""select min(ts) window_start, user_id, count(*) n from (select *, sum(fresh) over (partition by user_id order by ts, event_id) g from (select *,
+case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval '30 minutes' then 0 else 1 end fresh from events)) group by user_id, g""")
+def window_session(s, d):
+    out = windows.sessions(of(s, d, "events").df, "ts", "30 minutes", ("user_id",), n=F.count(F.lit(1)))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
