@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick, stored, table
+from tessera.llm.common import dropped, pick, stored, table
 from tessera.llm.shingles import mixed, powers, prefix_hashes
 
 GRAM = 128
@@ -232,16 +232,18 @@ def _removal(docs: DataFrame, id_col: str, text_col: str, length: int, run_rows:
     src = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("node"), text.alias("text"))
     documents = src.select("doc_id", "node")
     texts = stored(src.select("node", "text").groupBy("node").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
-    spots = stored(texts.select("node", "text").mapInArrow(_anchored(length, GRAM), "node binary, lo int, hi int, at int, l long, r long, whole long"))
+    once: list[str] = []
+    spots = stored(texts.select("node", "text").mapInArrow(_anchored(length, GRAM), "node binary, lo int, hi int, at int, l long, r long, whole long"), once)
 
     # surroundings that repeat as a whole repeat in every window: one stays to meet others
     full = spots.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("node", "lo")).alias("first")).where("n > 1")
     rows = spots.join(full.select(F.col("whole").alias("w_"), "first"), F.col("whole") == F.col("w_"), "left")
     rows = stored(rows.select("node", "lo", "hi", "at", "l", "r", F.col("first").isNotNull().alias("twice"), (F.col("first").isNull() | (F.col("first") == F.struct("node", "lo"))).alias("chosen")))
+    dropped(docs.sparkSession, once)
     chosen = rows.where("chosen")
     shared = lambda c: chosen.where(F.col(c) != 0).groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(F.col(c).alias(f"{c}_"))
     near = chosen.join(shared("l"), F.col("l") == F.col("l_"), "left").join(shared("r"), F.col("r") == F.col("r_"), "left").where("l_ is not null or r_ is not null")
-    places = near.groupBy("node").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("spots"))
+    places = stored(near.groupBy("node").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("spots")))
     around = texts.select("node", "text").join(places, "node").mapInArrow(_contexts(length), "node binary, lo int, hi int, at int, lead binary, around binary")
     partitions = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     buckets = stored(around).repartitionByRange(partitions, "lead").sortWithinPartitions("lead")
