@@ -23,11 +23,13 @@ from tessera.llm.components import components
 from tessera.llm.shingles import mixed, shingles
 
 #: Cells of the table that counts in how many sets a hashed shingle occurs; its size does not grow with the data.
-CELLS, SLOTS = 1 << 21, 16
+CELLS, SLOTS = 1 << 24, 64
 #: Sets of up to this many shingles index pairs of frequent shingles; beyond it a prefix has too many pairs.
 PAIRED = 140
 #: Frequency class from which a shingle counts as frequent.
-FREQUENT = 2
+FREQUENT = 3
+#: Checks of all classes under a key against one, by rounds of several orders each in which it is the first.
+LEADERS = ((0, 1), (2, 3, 4, 5))
 
 
 def _cells(g: np.ndarray) -> np.ndarray:
@@ -45,7 +47,12 @@ def _profile(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = ["doc_id", "set_key", "n", "slot", "part"], (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-        total = np.zeros(CELLS, np.uint32)
+        total = np.zeros(CELLS, np.uint8)
+
+        def add(cells):
+            at, n = np.unique(np.concatenate(cells), return_counts=True)
+            total[at] = np.minimum(total[at] + n, 255)  # a task's share; the sum over tasks has more bits
+
         for b in batches:
             rows, held, cells = [], 0, []
             for d, key, g, _ in _sets(b, k):
@@ -53,10 +60,10 @@ def _profile(k: int):
                 cells.append(_cells(g))
                 held += len(g)
                 if held > 1 << 20:
-                    total += np.bincount(np.concatenate(cells), minlength=CELLS).astype(np.uint32)
+                    add(cells)
                     cells, held = [], 0
             if cells:
-                total += np.bincount(np.concatenate(cells), minlength=CELLS).astype(np.uint32)
+                add(cells)
             if rows:
                 none = [None] * len(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*zip(*rows, strict=True), none, none), types, strict=True)], names=names)
@@ -71,16 +78,20 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for s, part in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            x = np.frombuffer(part.as_py(), np.uint32)
+            x = np.frombuffer(part.as_py(), np.uint8).astype(np.uint32)
             total[s] = total[s] + x if s in total else x
     for s, x in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["slot", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes()], pa.binary())], names=["slot", "part"])
 
 
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
-    """0 for cells of usual count, and then one more for each power of four above it."""
-    usual = max(8.0, 2.0 * float(counts.mean()))
-    return np.where(counts <= usual, 0, np.clip(1 + np.floor(np.log2(np.maximum(counts / usual, 1.0)) / 2), 1, 15)).astype(np.uint8)
+    """0 for cells of usual count, and then one more for each power of two above it."""
+    mean = float(counts.mean())
+    usual = np.float32(max(4.0, mean + 3 * mean**0.5))
+    out = np.zeros(len(counts), np.uint8)
+    above = np.flatnonzero(counts > usual)
+    out[above] = np.clip(1 + np.floor(np.log2(counts[above] / usual)), 1, 15)
+    return out
 
 
 def index_keys(g: np.ndarray, classes: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,15 +192,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profile = stored(src.mapInArrow(_profile(words), "doc_id long, set_key binary, n int, slot int, part binary"))
     kind = "slot int, part binary"
     parts = profile.where("slot is not null").select("slot", "part").repartition(SLOTS, "slot").mapInArrow(_added, kind).collect()
-    counts = np.zeros(CELLS, np.uint32)
+    counts = np.zeros(CELLS, np.uint16)
     for r in parts:
-        counts[r.slot * (CELLS // SLOTS) : (r.slot + 1) * (CELLS // SLOTS)] = np.frombuffer(r.part, np.uint32)
+        counts[r.slot * (CELLS // SLOTS) : (r.slot + 1) * (CELLS // SLOTS)] = np.frombuffer(r.part, np.uint16)
     shared = spark.sparkContext.broadcast(frequency_classes(counts).tobytes())
     documents = profile.where("slot is null").select("doc_id", "set_key", "n")
 
-    key_rows = lambda: src.mapInArrow(_keys(shared, words, share), "key long, node binary, n int, pos int")
-    met = key_rows().groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    rows = stored(key_rows().join(met, "key").groupBy("key", "node").agg(F.first("n").alias("n"), F.min("pos").alias("pos")))
+    once: list[str] = []
+    keys = stored(src.mapInArrow(_keys(shared, words, share), "key long, node binary, n int, pos int"), once)
+    met = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    rows = stored(keys.join(met, "key").groupBy("key", "node").agg(F.first("n").alias("n"), F.min("pos").alias("pos")))
+    dropped(spark, once)
     wanted = rows.select("node").distinct()
     texts = stored(src.mapInArrow(_keyed_texts(words), "node binary, text string").where("node is not null").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
@@ -199,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return one.join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb").mapInArrow(_verified(words, share), "a binary, b binary")
 
     links, root = None, None
-    for leader in (F.min, F.max, None):
+    for orders in (*LEADERS, None):
         paths: list[str] = []
         own = rows if root is None else rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         if root is not None:
@@ -209,8 +222,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             own = own.join(several, "key")
         names = ["node", "n", "pos"] + ["root"] * (root is not None)
         other = F.col("anode") != F.col("node") if root is None else F.col("aroot") != F.col("root")
-        if leader:
-            first = own.groupBy("key").agg(leader(F.struct(*names)).alias("f")).select("key", *[F.col(f"f.{c}").alias(f"a{c}") for c in names])
+        if orders:
+            # the class that comes first under a key in each of several orders meets the others
+            firsts = [F.min_by(F.struct(*names), F.xxhash64(F.lit(o), "node")) for o in orders]
+            first = own.groupBy("key").agg(F.array_distinct(F.array(*firsts)).alias("f")).select("key", F.explode("f").alias("f")).select("key", *[F.col(f"f.{c}").alias(f"a{c}") for c in names])
             pairs = own.join(first, "key").where(other)
         else:
             pairs = own.join(own.select("key", *[F.col(c).alias(f"a{c}") for c in names]), "key").where(other & (F.col("anode") < F.col("node")))
