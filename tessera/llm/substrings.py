@@ -149,19 +149,21 @@ def _settled(length: int, share_rows: int):
         return mixed(window_hashes(h, np.arange(n), length) + off)
 
     def settle(group, border):
-        if border:
-            for row in group:
-                for k, w in enumerate(hashes(row).view(np.int64).tolist()):
-                    yield row[0], row[1] + k, None, w
-            return
-        if len(group) < 2:
+        if not group or len(group) < 2 and not border:
             return
         h = [hashes(r) for r in group]
-        u, n = np.unique(np.concatenate(h), return_counts=True)
+        u, at, n = np.unique(np.concatenate(h), return_index=True, return_counts=True)
         twice = u[n > 1]
         for row, x in zip(group, h, strict=True):
             for a, b in _runs(np.isin(x, twice)):
                 yield row[0], row[1] + a, row[1] + b, None
+        if border:
+            # each hash once, for others to meet; only those not settled here need an answer
+            ends = np.cumsum([len(x) for x in h])
+            owner = np.searchsorted(ends, at, "right")
+            for w, i, o, k in zip(u.view(np.int64).tolist(), at.tolist(), owner.tolist(), n.tolist(), strict=True):
+                row = group[o]
+                yield (None, None, None, w) if k > 1 else (row[0], row[1] + i - int(ends[o] - len(h[o])), None, w)
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -250,7 +252,7 @@ def _removal(docs: DataFrame, id_col: str, text_col: str, length: int, run_rows:
     found = stored(buckets.mapInArrow(_settled(length, run_rows), "node binary, first int, last int, window long"))
     windows = found.where("window is not null")
     again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select(F.col("window").alias("w_"))
-    runs = found.where("last is not null").select("node", "first", "last").unionByName(windows.join(again, F.col("window") == F.col("w_")).select("node", "first", F.col("first").alias("last"))).unionByName(rows.where("twice").select("node", F.col("lo").alias("first"), F.col("hi").alias("last")))
+    runs = found.where("last is not null").select("node", "first", "last").unionByName(windows.where("node is not null").join(again, F.col("window") == F.col("w_")).select("node", "first", F.col("first").alias("last"))).unionByName(rows.where("twice").select("node", F.col("lo").alias("first"), F.col("hi").alias("last")))
     runs = runs.groupBy("node").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     return documents, texts.join(runs, "node", "left").select("node", "text", "copies", "runs").mapInArrow(_cut(length), "node binary, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
 
