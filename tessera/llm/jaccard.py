@@ -23,7 +23,7 @@ from tessera.llm.components import components
 from tessera.llm.shingles import mixed, shingles
 
 #: Cells of the table that counts in how many sets a hashed shingle occurs; its size does not grow with the data.
-CELLS, SLOTS = 1 << 24, 64
+CELLS, SLOTS = 1 << 23, 64
 #: Sets of up to this many shingles index pairs of frequent shingles; beyond it a prefix has too many pairs.
 PAIRED = 140
 #: Frequency class from which a shingle counts as frequent.
