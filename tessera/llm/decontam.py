@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -134,17 +135,42 @@ def latent_basis(sample: DataFrame, idf: np.ndarray, size: int, rank: int, round
     return m
 
 
+@dataclass
+class Block:
+    """Items whose passages a basis spans. likeness is the basis, with IDF in it, times the items' vectors of length 1."""
+
+    first: int
+    rows: np.ndarray  # a vocabulary word's row of likeness, or -1
+    most: np.ndarray  # a vocabulary word's greatest likeness
+    likeness: np.ndarray
+
+
 @dataclass
 class Index:
-    """Items in latent space. basis has IDF in it; vectors have length 1."""
+    """Items in latent spaces, in blocks."""
 
-    basis: np.ndarray
     items: list[int]
     words: list[np.ndarray]
-    vectors: np.ndarray
+    blocks: list[Block]
     size: int
     idf: np.ndarray
-    slot: np.ndarray  # a bucket's row of basis, or -1
+    slot: np.ndarray  # a bucket's place in the vocabulary of all items, or its length
+
+
+def spanned(words: list[np.ndarray], size: int, rank: int) -> Iterator[tuple[int, int, int]]:
+    """(from, to, rank) of successive items that have at most `rank` passages together; an item of more has its own block and rank."""
+    first, n = 0, 0
+    for i, w in enumerate(words):
+        own = len(passages(w, size))
+        if n and n + own > rank:
+            yield first, i, rank
+            first, n = i, 0
+        n += own
+        if n > rank:
+            yield first, i + 1, n
+            first, n = i + 1, 0
+    if n:
+        yield first, len(words), rank
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray]:
@@ -175,46 +201,59 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray]:
 def _search(shared, cosine: float, common: float, answer_words: int, answer: float):
     names, types = [x.split()[0] for x in FOUND.split(", ")], (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int32())
 
+    def found(ix: Index, held: list[tuple[int, int, np.ndarray]]) -> list[tuple]:
+        w = np.concatenate([x for _, _, x in held])
+        edge = np.cumsum([0, *(len(x) for _, _, x in held)])
+        starts = [passages(x, ix.size) for _, _, x in held]
+        owner = np.repeat(np.arange(len(held)), [len(x) for x in starts])
+        start = np.concatenate(starts) + edge[owner]
+        stop = np.minimum(start + ix.size, edge[owner + 1])
+        col = buckets(w)
+        # words beside the items' lie outside the latent space: they count for a passage's length alone
+        energy = np.concatenate([[0.0], np.cumsum(ix.idf[col].astype(np.float64) ** 2)])
+        length = np.sqrt(np.maximum(energy[stop] - energy[start], 1e-9))
+        col = ix.slot[col]
+        best: list[dict[int, tuple]] = [{} for _ in held]
+        for block in ix.blocks:
+            # no item is more like a passage than the sum of its words' greatest likeness
+            most = np.concatenate([[0.0], np.cumsum(block.most[col])])
+            chosen = np.flatnonzero(most[stop] - most[start] >= cosine * length - 1e-6)
+            for at in range(0, len(chosen), 1024):
+                some = chosen[at : at + 1024]
+                n = stop[some] - start[some]
+                mine = np.repeat(np.arange(len(some)), n)
+                row = block.rows[col[np.arange(len(mine)) + np.repeat(start[some] - np.cumsum(n) + n, n)]]
+                inside = row >= 0
+                sims = _times(mine[inside], row[inside], np.ones(inside.sum(), np.float32), block.likeness, len(some)) / length[some, None]
+                for i, k in zip(*np.nonzero(sims >= cosine), strict=True):
+                    k, which = int(k) + block.first, int(owner[some[i]])
+                    known, text, s = best[which], held[which][2], int(start[some[i]] - edge[which])
+                    if k in known and known[k][1] >= 0.95:
+                        continue
+                    item = ix.words[k]
+                    near = text[max(0, s - len(item)) : s + ix.size + len(item)]
+                    if 2 * np.isin(item, near).sum() < common * len(item):
+                        continue
+                    m, used = common_subsequence(item, near)
+                    share, tail = m / len(item), float(used[-answer_words:].mean())
+                    if share >= common and tail >= answer and (k not in known or share > known[k][1]):
+                        known[k] = (float(sims[i, k - block.first]), share, tail, s)
+        return [(d, h, ix.items[k], *v, len(x)) for (d, h, x), known in zip(held, best, strict=True) for k, v in known.items()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
-        hot = (ix.slot >= 0) & (ix.idf > 0)
         for b in batches:
-            out = []
+            out, held, n = [], [], 0
             for d, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 w = word_hashes((text.as_py() or "").encode("utf-8", "surrogatepass"))
-                start = passages(w, ix.size)
-                if not len(start):
-                    continue
-                col = buckets(w)
-                best: dict[int, tuple] = {}
-                # words beside the items' lie outside the latent space: they count for a passage's length alone
-                inside = np.flatnonzero(hot[col])
-                energy = np.concatenate([[0.0], np.cumsum(ix.idf[col].astype(np.float64) ** 2)])
-                begin, end = np.searchsorted(inside, start), np.searchsorted(inside, start + ix.size)
-                chosen = np.flatnonzero(end - begin > 1)
-                for at in range(0, len(chosen), 4096):
-                    some = chosen[at : at + 4096]
-                    part, first = start[some], int(begin[some[0]])
-                    # a passage is the difference of two running sums
-                    run_sum = np.concatenate([np.zeros((1, ix.basis.shape[1])), np.cumsum(ix.basis[ix.slot[col[inside[first : int(end[some[-1]])]]]], axis=0, dtype=np.float64)])
-                    y = run_sum[end[some] - first] - run_sum[begin[some] - first]
-                    y /= np.sqrt(np.maximum(energy[np.minimum(part + ix.size, len(w))] - energy[part], 1e-9))[:, None]
-                    for block in range(0, len(ix.items), 2048):
-                        sims = y @ ix.vectors[block : block + 2048].T
-                        for i, k in zip(*np.nonzero(sims >= cosine), strict=True):
-                            k, s = int(k) + block, int(part[i])
-                            if k in best and best[k][1] >= 0.95:
-                                continue
-                            item = ix.words[k]
-                            lo_w = max(0, s - len(item))
-                            near = w[lo_w : s + ix.size + len(item)]
-                            if 2 * np.isin(item, near).sum() < common * len(item):
-                                continue
-                            n, used = common_subsequence(item, near)
-                            share, tail = n / len(item), float(used[-answer_words:].mean())
-                            if share >= common and tail >= answer and (k not in best or share > best[k][1]):
-                                best[k] = (float(sims[i, k - block]), share, tail, s)
-                out += [(d, h, ix.items[k], *v, len(w)) for k, v in best.items()]
+                if len(w):
+                    held.append((d, h, w))
+                    n += len(w)
+                if n > 100_000:
+                    out += found(ix, held)
+                    held, n = [], 0
+            if held:
+                out += found(ix, held)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
@@ -227,9 +266,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     A document holds an item if one of its passages has a cosine of at least
     `cosine` with it, a longest common subsequence of at least `common` of its words, and
     at least `answer` of its last `answer_words` words in that. IDF counts all
-    documents; the basis is fitted to the passages of all items; every passage of every
-    document is searched, its length taken in the whole space. Items go to every task: their number is checked against `most_items`,
-    and larger benchmarks should be given in parts. Null and empty texts and items
+    documents; items are dealt into blocks of at most `rank` passages, each with a basis that
+    spans them; every passage of every document is searched against every block, its length
+    taken in the whole space. Blocks go to every task, about 64 MB of them at a time, and each
+    such part reads the documents again. The number of items is checked against `most_items`, and
+    larger benchmarks should be given in parts. Null and empty texts and items
     hold nothing. Repeated rows each count.
     """
     spark = docs.sparkSession
@@ -242,15 +283,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     if not kept:
         return src.select("doc_id", "row_hash").limit(0).selectExpr("doc_id", "row_hash", "0L item_id", "0d cosine", "0d common", "0d answer", "0L first_word", "0 words")
     idf = inverse_frequencies(src.select("text"))
-    fitted = stored(pick(benchmark, item_col, "text").where(f"{item_col} is not null").select("text"))
-    vocabulary = np.unique(buckets(np.concatenate([words[i] for i in kept])))
-    slot = np.full(SIZE, -1, np.int32)
+    names, words, texts = [items[i].item for i in kept], [words[i] for i in kept], [items[i].text for i in kept]
+    vocabulary = np.unique(buckets(np.concatenate(words)))
+    slot = np.full(SIZE, len(vocabulary), np.int32)
     slot[vocabulary] = np.arange(len(vocabulary))
-    basis = latent_basis(fitted, idf[vocabulary], size, min(rank, len(vocabulary)), slot=slot) * idf[vocabulary, None]
-    vectors = np.stack([basis[slot[buckets(words[i])]].sum(0) for i in kept])
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    shared = spark.sparkContext.broadcast(Index(basis.astype(np.float32), [items[i].item for i in kept], [words[i] for i in kept], vectors.astype(np.float32), size, idf, slot))
-    return src.mapInArrow(_search(shared, cosine, common, answer_words, answer), FOUND)
+    parts, blocks, size_of = [], [], 0
+    for first, last, needed in spanned(words, size, rank):
+        own = np.unique(buckets(np.concatenate(words[first:last])))
+        at = np.full(SIZE, -1, np.int32)
+        at[own] = np.arange(len(own))
+        fitted = spark.createDataFrame([(t,) for t in texts[first:last]], "text string").coalesce(1)
+        basis = latent_basis(fitted, idf[own], size, min(needed, len(own)), slot=at) * idf[own, None]
+        vectors = np.stack([basis[at[buckets(w)]].sum(0) for w in words[first:last]])
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+        likeness = (basis @ vectors.T).astype(np.float32)
+        rows, most = np.full(len(vocabulary) + 1, -1, np.int32), np.zeros(len(vocabulary) + 1, np.float32)
+        rows[slot[own]], most[slot[own]] = np.arange(len(own)), likeness.max(1)
+        blocks.append(Block(first, rows, most, likeness))
+        size_of += likeness.nbytes + rows.nbytes + most.nbytes
+        if size_of > 1 << 26 or last == len(words):
+            shared = spark.sparkContext.broadcast(Index(names, words, blocks, size, idf, slot))
+            parts.append(src.mapInArrow(_search(shared, cosine, common, answer_words, answer), FOUND))
+            blocks, size_of = [], 0
+    return reduce(DataFrame.unionByName, parts)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

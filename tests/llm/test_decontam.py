@@ -58,3 +58,20 @@ def test_exact_and_reworded_items_are_found_and_clean_texts_left(spark):
     ids = [k.doc_id for k in kept.collect()]
     assert kept.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted({x[0] for x in rows if x[0] is not None} - {d for d, _ in pairs})
     assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_copies_of_many_items_are_found(spark):
+    r = random.Random(5)
+    some = lambda n: [f"w{r.randrange(r.choice([100, 20_000]))}" for _ in range(n)]
+    items = [some(r.randint(15, 55)) for _ in range(3000)]
+    rows, want = [], set()
+    for k in range(0, 3000, 10):
+        w = some(r.randint(20, 300))
+        at = r.randint(0, len(w))
+        w[at:at] = items[k]
+        rows.append((k, " ".join(w)))
+        want.add((k, k))
+    docs = spark.createDataFrame(rows + [(10_000 + i, " ".join(some(200))) for i in range(1000)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = {(f.doc_id, f.item_id) for f in decontam.leaks(docs, bench).collect()}
+    assert len(want & found) >= 0.99 * len(want)
