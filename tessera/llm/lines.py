@@ -1,6 +1,7 @@
 """Removal of repeated lines and sentences by hashing.
 
-Units are lines, and the sentences within lines. Their normalised forms' digests
+Units are lines, and the sentences within lines, short ones in groups with their
+neighbours. Their normalised forms' digests
 are grouped over all documents; the earliest occurrence (by document id, then
 offset) stays, and the others go, with their offsets in the original text kept.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +23,31 @@ _SENTENCE = re.compile(r"\S(?:.*?[.!?…](?=\s)|.*)", re.S)
 UNITS = "doc_id long, text_hash long, start int, stop int, digest binary"
 
 
+def groups(sizes: list[int], least: int) -> list[tuple[int, int]]:
+    """(from, to) of sentences of these sizes: from each on, and up to each that none of those ends with, the fewest that have at least `least` words together."""
+    out, n, j = [], 0, 0
+    for i, size in enumerate(sizes):
+        while j < len(sizes) and n < least:
+            n += sizes[j]
+            j += 1
+        if n < least:
+            break
+        out.append((i, j))
+        n -= size
+    ends = {j for _, j in out}
+    for j in range(1, len(sizes) + 1):
+        if j not in ends:
+            i, n = j, 0
+            while i and n < least:
+                i -= 1
+                n += sizes[i]
+            if n >= least:
+                out.append((i, j))
+    return out
+
+
 def units(text: str, line_words: int, sentence_words: int) -> list[tuple[int, int, bytes]]:
-    """(start, stop, digest) of the text's lines, and of its lines' sentences if there are several; short ones are left out."""
+    """(start, stop, digest) of the text's lines, and of groups of its lines' sentences if there are several; short ones are left out."""
     out, at = [], 0
     for line in text.split("\n"):
         words = line.split()
@@ -31,10 +56,12 @@ def units(text: str, line_words: int, sentence_words: int) -> list[tuple[int, in
             out.append((begin, at + len(line.rstrip()), hashlib.md5(" ".join(words).lower().encode("utf-8", "surrogatepass")).digest()))
         if len(words) >= sentence_words:
             found = [(m.start(), m.group().rstrip()) for m in _SENTENCE.finditer(line)]
-            for start, sentence in found if len(found) > 1 else ():
-                w = sentence.split()
-                if len(w) >= sentence_words:
-                    out.append((at + start, at + start + len(sentence), hashlib.md5(" ".join(w).lower().encode("utf-8", "surrogatepass")).digest()))
+            sizes = [len(sentence.split()) for _, sentence in found]
+            edge = [0, *accumulate(sizes)]
+            for i, j in groups(sizes, max(1, sentence_words)) if len(found) > 1 else ():
+                if j - i < len(found) or len(words) < line_words:
+                    w = words[edge[i] : edge[j]]
+                    out.append((at + found[i][0], at + found[j - 1][0] + len(found[j - 1][1]), hashlib.md5(" ".join(w).lower().encode("utf-8", "surrogatepass")).digest()))
         at += len(line) + 1
     return out
 
@@ -61,8 +88,9 @@ def _units(line_words: int, sentence_words: int):
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = 3, sentence_words: int = 8) -> DataFrame:
     """A row for each document: doc_id, text_hash, n_units, removed (array of start, stop; merged, in code points).
 
-    Lines of fewer than `line_words` and sentences of fewer than `sentence_words`
-    words are never removed. Case and white space are ignored. Null and empty
+    Lines of fewer than `line_words` words are not removed by themselves, nor are sentences of
+    fewer than `sentence_words`: they go with neighbours that make up as many words and repeat with
+    them. Of each sentence that goes, an earlier occurrence stays. Case and white space are ignored. Null and empty
     texts have no units. Rows with the same id and text are one document in two
     rows: both get the same result. Null ids rank first. Other columns are not read.
     """

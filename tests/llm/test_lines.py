@@ -27,3 +27,16 @@ def test_units_equal_brute_force(spark):
     clean = {c.doc_id: c.text for c in lines.cleaned(df).collect()}
     assert clean[203].strip() in ("", pool[1]) and clean[200] is None and len(lines.cleaned(df).columns) == 3
     assert lines.repeated(df.limit(0)).count() == 0
+
+
+def test_passages_of_short_sentences_go_between_different_neighbours(spark):
+    r = random.Random(6)
+    sentence = lambda n: " ".join("".join(r.choice("aeiounrst") for _ in range(7)) for _ in range(n)) + "."
+    for sizes in ([5] * 12, [3, 2, 6, 7, 4, 1] * 3, [2, *[9] * 6, 3]):
+        passage = " ".join(sentence(n) for n in sizes)
+        around = [(sentence(4), sentence(9), sentence(2)) for _ in range(3)]
+        rows = [(i, f"{a} {b} {passage} {c}") for i, (a, b, c) in enumerate(around)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        clean = {c.doc_id: c.text for c in lines.cleaned(docs).collect()}
+        assert clean[0] == rows[0][1]
+        assert all(clean[i].split() == f"{a} {b} {c}".split() for i, (a, b, c) in enumerate(around) if i)
