@@ -73,7 +73,7 @@ def _found(text: Column, kind: str) -> Column:
         lambda acc, x: F.struct((acc["at"] + x["gap"] + F.coalesce(x["size"], F.lit(0))).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts")),
     )["starts"]
     spans = F.zip_with(hits, F.slice(begun, 1, F.size(hits)), lambda v, s: F.struct(s.alias("start"), F.lit(KINDS.index(kind)).alias("kord"), (s + F.length(v)).alias("stop"), v.alias("value")))
-    there = F.contains(text, F.lit(HINT[kind])) if HINT[kind] else text.rlike("[0-9]{1}")
+    there = F.contains(text, F.lit(HINT[kind])) if HINT[kind] else text.rlike("[:=]{1}" if kind == "secret" else "[0-9]{1}")
     return F.when(there, spans).otherwise(F.array().cast(SPAN))
 
 

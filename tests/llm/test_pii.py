@@ -63,3 +63,9 @@ def test_em_trusts_labelers_that_agree():
     w = pii.span_classifier(counts, post)
     z = lambda p: sum(a * b for a, b in zip(w, pii._features(p), strict=True))
     assert z((0, 1, 1, -1, 1, 1)) > 0 > z((0, 0, 0, -1, 0, 1))
+
+
+def test_secrets_need_no_digit_elsewhere(spark):
+    rows = [(0, "password: hunterabc"), (1, "token=abcdefgh here"), (2, "password: hunterabc 7"), (3, "no password here")]
+    got = {r.doc_id: [(c.start, c.stop) for c in r.candidates] for r in pii.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: [(0, 19)], 1: [(0, 14)], 2: [(0, 19)], 3: []}
