@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import pick, stored, table
-from tessera.llm.shingles import word_hashes
+from tessera.llm.shingles import mixed, word_hashes
 
-BITS = 16
+BITS = 18
 SIZE = 1 << BITS
 FOUND = "doc_id long, row_hash long, item_id long, cosine double, common double, answer double, first_word long, words int"
 
@@ -29,17 +29,26 @@ def buckets(w: np.ndarray) -> np.ndarray:
     return (w >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _frequencies(slots: int):
+def _frequencies(slots: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total, docs = np.zeros(SIZE, np.int64), 0
+        total, n = np.zeros(SIZE, np.int64), 0
         for b in batches:
+            held, many = [], 0
             for text in b.column(0):
-                total[np.unique(buckets(word_hashes((text.as_py() or "").encode("utf-8", "surrogatepass"))))] += 1
-                docs += 1
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % slots], pa.int32()), pa.array([docs], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["slot", "docs", "df"])
+                w = buckets(word_hashes((text.as_py() or "").encode("utf-8", "surrogatepass")))
+                if len(w):
+                    held.append((n + np.arange(len(w)) // size << BITS) + w)
+                    n += -(-len(w) // size)
+                    many += len(w)
+                if many > 100_000:
+                    np.add.at(total, np.unique(np.concatenate(held)) & SIZE - 1, 1)
+                    held, many = [], 0
+            if held:
+                np.add.at(total, np.unique(np.concatenate(held)) & SIZE - 1, 1)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % slots], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["slot", "docs", "df"])
 
     return run
 
@@ -54,13 +63,13 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([docs], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["slot", "docs", "df"])
 
 
-def inverse_frequencies(texts: DataFrame, slots: int = 16) -> np.ndarray:
-    """IDF over all documents, less 3 and at least 0, so that words in more than a twentieth of them weigh nothing (in
-    fewer than 1000 documents: less a share of it, and at least a little). Each task gives one vector of fixed size."""
+def inverse_frequencies(texts: DataFrame, slots: int = 16, size: int = 32) -> np.ndarray:
+    """IDF over all texts' passages of `size` words (side by side), less 3 for rare words and always above 0: log(1 + (n + 1) / (df + 1) / e^3).
+    Each task gives one vector of fixed size."""
     kind = "slot int, docs long, df binary"
-    got = texts.mapInArrow(_frequencies(slots), kind).repartition(slots, "slot").mapInArrow(_summed, kind).repartition(1).mapInArrow(_summed, kind).first()
+    got = texts.mapInArrow(_frequencies(slots, size), kind).repartition(slots, "slot").mapInArrow(_summed, kind).repartition(1).mapInArrow(_summed, kind).first()
     n, df = (got.docs, np.frombuffer(got.df, np.int64)) if got else (0, np.zeros(SIZE))
-    return np.maximum(np.log((n + 1) / (df + 1)) - min(3.0, 0.4 * np.log(n + 1)), 0.05 if n < 1000 else 0.0).astype(np.float32)
+    return np.log1p(np.exp(-3.0) * (n + 1) / (df + 1)).astype(np.float32)
 
 
 def passages(w: np.ndarray, size: int) -> np.ndarray:
@@ -152,6 +161,7 @@ class Index:
     items: list[int]
     words: list[np.ndarray]
     blocks: list[Block]
+    verbatim: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     size: int
     idf: np.ndarray
     slot: np.ndarray  # a bucket's place in the vocabulary of all items, or its length
@@ -198,6 +208,39 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray]:
     return int(used.sum()), used
 
 
+GRAM = 8
+
+
+def gram_hashes(w: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n words in a row."""
+    out = w[: max(0, len(w) - n + 1)].copy()
+    for i in range(1, n):
+        out = mixed(out * np.uint64(2 * n + 1)) + w[i : i + len(out)]
+    return out
+
+
+def verbatim(words: list[np.ndarray], first: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length (up to GRAM words), the sorted hashes of the items' first words, the items' numbers, and a table of 2^16 of hashes' lowest bits."""
+    out = {}
+    for n in sorted({min(GRAM, len(w)) for w in words}):
+        own = [i for i, w in enumerate(words) if min(GRAM, len(w)) == n]
+        h = np.concatenate([gram_hashes(words[i][:n], n) for i in own])
+        order, seen = np.argsort(h, kind="stable"), np.zeros(1 << 16, bool)
+        seen[h & np.uint64(0xFFFF)] = True
+        out[n] = h[order], np.array(own)[order] + first, seen
+    return out
+
+
+def _likeness(item: np.ndarray, passage: np.ndarray, idf: np.ndarray) -> float:
+    """Cosine in the whole space, the passage's length taken as in the search."""
+    a, n = np.unique(buckets(item), return_counts=True)
+    b = buckets(passage)
+    inside = b[np.isin(b, a)]
+    x = n * idf[a]
+    y = float((x[np.searchsorted(a, inside)] * idf[inside]).sum())
+    return y / float(np.linalg.norm(x)) / float(np.sqrt(np.maximum((idf[b].astype(np.float64) ** 2).sum(), 1e-9)))
+
+
 def _search(shared, cosine: float, common: float, answer_words: int, answer: float):
     names, types = [x.split()[0] for x in FOUND.split(", ")], (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int32())
 
@@ -214,6 +257,19 @@ def _search(shared, cosine: float, common: float, answer_words: int, answer: flo
         length = np.sqrt(np.maximum(energy[stop] - energy[start], 1e-9))
         col = ix.slot[col]
         best: list[dict[int, tuple]] = [{} for _ in held]
+        # whole items word by word: frequent words alone do not reach the cosine beside rare ones
+        for n, (hashes, numbers, seen) in ix.verbatim.items():
+            grams = gram_hashes(w, n)
+            at = np.flatnonzero(seen[grams & np.uint64(0xFFFF)])
+            lo, hi = np.searchsorted(hashes, grams[at]), np.searchsorted(hashes, grams[at], "right")
+            for s, i, j in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+                which = int(np.searchsorted(edge, s, "right")) - 1
+                for k in numbers[i:j].tolist():
+                    item = ix.words[k]
+                    if k not in best[which] and s + len(item) <= edge[which + 1] and np.array_equal(w[s : s + len(item)], item):
+                        p = s - edge[which]
+                        begin = max(0, min(p, len(held[which][2]) - ix.size))
+                        best[which][k] = (_likeness(item, held[which][2][begin : begin + ix.size], ix.idf), 1.0, 1.0, int(begin))
         for block in ix.blocks:
             # no item is more like a passage than the sum of its words' greatest likeness
             most = np.concatenate([[0.0], np.cumsum(block.most[col])])
@@ -265,8 +321,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     A document holds an item if one of its passages has a cosine of at least
     `cosine` with it, a longest common subsequence of at least `common` of its words, and
-    at least `answer` of its last `answer_words` words in that. IDF counts all
-    documents; items are dealt into blocks of at most `rank` passages, each with a basis that
+    at least `answer` of its last `answer_words` words in that; or if it holds all the item's
+    words in a row, whatever their weights and number (an item of one word is held wherever that
+    word stands). IDF counts all documents' passages; items are dealt into blocks of at most `rank` passages, each with a basis that
     spans them; every passage of every document is searched against every block, its length
     taken in the whole space. Blocks go to every task, about 64 MB of them at a time, and each
     such part reads the documents again. The number of items is checked against `most_items`, and
@@ -282,7 +339,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     kept = [i for i, w in enumerate(words) if len(w)]
     if not kept:
         return src.select("doc_id", "row_hash").limit(0).selectExpr("doc_id", "row_hash", "0L item_id", "0d cosine", "0d common", "0d answer", "0L first_word", "0 words")
-    idf = inverse_frequencies(src.select("text"))
+    idf = inverse_frequencies(src.select("text"), size=size)
     names, words, texts = [items[i].item for i in kept], [words[i] for i in kept], [items[i].text for i in kept]
     vocabulary = np.unique(buckets(np.concatenate(words)))
     slot = np.full(SIZE, len(vocabulary), np.int32)
@@ -302,7 +359,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         blocks.append(Block(first, rows, most, likeness))
         size_of += likeness.nbytes + rows.nbytes + most.nbytes
         if size_of > 1 << 26 or last == len(words):
-            shared = spark.sparkContext.broadcast(Index(names, words, blocks, size, idf, slot))
+            shared = spark.sparkContext.broadcast(Index(names, words, blocks, verbatim(words[blocks[0].first : last], blocks[0].first), size, idf, slot))
             parts.append(src.mapInArrow(_search(shared, cosine, common, answer_words, answer), FOUND))
             blocks, size_of = [], 0
     return reduce(DataFrame.unionByName, parts)

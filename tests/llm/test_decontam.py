@@ -75,3 +75,25 @@ def test_copies_of_many_items_are_found(spark):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
     found = {(f.doc_id, f.item_id) for f in decontam.leaks(docs, bench).collect()}
     assert len(want & found) >= 0.99 * len(want)
+
+
+def test_verbatim_items_of_frequent_words_are_found_at_all_sizes(spark):
+    r = random.Random(7)
+    common = [f"c{i}" for i in range(12)]
+    some = lambda n: [r.choice(common) if r.random() < 0.5 else f"w{r.randrange(50_000)}" for _ in range(n)]
+    items = {0: [common[i] for i in (3, 1, 4, 0, 5, 9, 2, 6, 8, 7)], 1: [common[i] for i in (7, 2, 0, 8, 1, 8)] + ["only"], 2: ["unique"]}
+    for n in (300, 1500):
+        rows = [(i, some(r.randint(60, 150))) for i in range(n)]
+        for k, item in items.items():
+            rows[50 + k][1][20:20] = item
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+        bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+        found = {(f.doc_id, f.item_id) for f in decontam.leaks(docs, bench).where("common = 1").collect()}
+        assert found == {(50 + k, k) for k in items}
+
+
+def test_words_weigh_by_the_passages_they_stand_in(spark):
+    rows = [(" ".join(f"v{(i * 31 + j) % 5000}" for j in range(4000)),) for i in range(1000, 1040)]
+    idf = decontam.inverse_frequencies(spark.createDataFrame(rows, "text string"))
+    weights = idf[decontam.buckets(decontam.word_hashes(" ".join(f"v{j}" for j in range(5000)).encode()))]
+    assert (idf > 0).all() and np.median(weights) > 1.5
