@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, found by exact name first, so that other columns cannot clash."""
     lower = [c.lower() for c in df.columns]
@@ -21,10 +24,36 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2 if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as keep it apart from the columns of df."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n = f"_{n}"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """docs with its columns renamed c0, c1 and so on, and two more: the row's id as a long, `row_id`, and `row_hash`,
+    the MD5 of its text (null for null). toDF(*docs.columns) after dropping these gives docs back."""
+    at = {n: docs.columns.index(n) if n in docs.columns else [c.lower() for c in docs.columns].index(n.lower()) for n in (id_col, text_col)}
+    out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return out.withColumns({"row_id": F.col(f"c{at[id_col]}").cast("long"), "row_hash": text_hash(F.col(f"c{at[text_col]}"))}), f"c{at[id_col]}", f"c{at[text_col]}"
+
+
+def text_hash(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; where that is unset, in a local one."""
+    """A new path in the folder that spark.checkpoint.dir names; a session in one process that names none gets a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
@@ -38,8 +67,12 @@ def stored(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     # what a finished write has shuffled is of no more use
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if was is None else spark.conf.set(_CLEAN, was)
     if keep is not None:
         keep.append(path)
     return spark.read.schema(df.schema).parquet(path)

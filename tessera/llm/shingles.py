@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -56,9 +60,66 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return mixed((h[stop] - h[start]) * down[start] + (stop - start).astype(np.uint64))
 
 
+def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column of strings, one after another, and where each begins (and the last ends). Null: empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    wide = pa.types.is_large_string(column.type)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() of the texts raw[at[i]:at[i + 1]] together, and where each text's begin (and the last's end)."""
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    b = _LOWER[raw]
+    inside = ~_SPACE[b]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edge = at[(at > 0) & (at < len(b))]
+    begins[edge], ends[edge - 1] = inside[edge], inside[edge - 1]
+    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    h = prefix_hashes(b)
+    _, down = powers(len(b) + 1)
+    return mixed((h[stop] - h[start]) * down[start] + (stop - start).astype(np.uint64)), np.searchsorted(start, at)
+
+
+def sets_of(column: pa.Array, k: int, piece: int = 1 << 18) -> Iterator[np.ndarray]:
+    """shingles() of each text of a column, computed for about `piece` bytes of texts at once."""
+    raw, at = texts_of(column)
+    i = 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + piece, "right")) - 1)
+        w, cut = words_of(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+        n = len(w) - k + 1
+        if n > 0:
+            x = np.full(n, k, np.uint64)
+            for o in range(k):
+                x = mixed(x * np.uint64(_BASE) + w[o : o + n])
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if b - a < k:
+                yield joined(w[a:b], k)
+                continue
+            g = np.sort(x[a : b - k + 1])
+            yield g[np.concatenate([[True], g[1:] != g[:-1]])]
+        i = j
+
+
 def shingles(raw: bytes, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; of fewer words, that of all; of none, none."""
-    w = word_hashes(raw)
+    return joined(word_hashes(raw), k)
+
+
+def joined(w: np.ndarray, k: int) -> np.ndarray:
+    """The same of word hashes."""
     if not len(w):
         return w
     n = max(1, len(w) - k + 1)
