@@ -5,14 +5,18 @@ the place of the least hash among the `gram`-byte strings within it. So suffixes
 sorted from anchors alone, each with the bytes around it that windows with this
 anchor cover. Anchors whose surroundings can't repeat are dropped first, by counts of
 their hashes. The rest are range-partitioned at sampled splitters by the bytes that
-lead from the anchor; each bucket sorts by multikey quicksort, compares neighbours
-to find runs with a common beginning, and settles the windows of each run. Runs that
-reach over the border of a bucket are settled by hashes of their windows instead.
+lead from the anchor, so equal leads meet in one bucket and suffixes on both sides of a
+border differ within their leads. Each bucket sorts a lead's suffixes, and what stands before
+them, by multikey quicksort; what neighbours in these two orders have in common tells which windows
+repeat. A lead that more suffixes have than a task should hold is not sorted at once: its suffixes are compared
+with one of them, and those that leave it at the same byte make new, smaller groups.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import dropped, pick, stored, table
-from tessera.llm.shingles import mixed, powers, prefix_hashes
+from tessera.llm.shingles import mixed, powers, prefix_hashes, texts_of
 
 GRAM = 128
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -54,16 +58,24 @@ def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
     return np.where(left_v[e] <= right_v[s], left_i[e], right_i[s])
 
 
-def anchors(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each anchor its place, the first and last start of the windows that it belongs to; and the prefix hashes."""
+def anchors(raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of texts raw[at[i]:at[i + 1]] together, for each anchor its place, the first and last start of the windows that it belongs to,
+    and its text's number; and the prefix hashes."""
     none = np.zeros(0, np.int64)
     if len(raw) < length:
-        return none, none, none, np.zeros(1, np.uint64)
-    h = prefix_hashes(np.frombuffer(raw, np.uint8))
+        return none, none, none, none, np.zeros(1, np.uint64)
+    h = prefix_hashes(raw)
     g = window_hashes(h, np.arange(len(raw) - gram + 1), gram) ^ _SALT
     a = sliding_argmin(mixed(g), length - gram + 1)
-    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    return a[first], first, np.append(first[1:], len(a)) - 1, h
+    # windows that lie within a text
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(a)]
+    inside = np.arange(len(a)) + length <= at[owner + 1]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (owner[1:] != owner[:-1])])
+    first = np.flatnonzero(new & inside)
+    # an anchor's windows follow one another up to the next change, or to the last within the text
+    ends = np.append(np.flatnonzero(new)[1:], len(a))
+    last = np.minimum(ends[np.searchsorted(ends, first, "right")] - 1, at[owner[first] + 1] - length)
+    return a[first], first, last, owner[first], h
 
 
 def _around(h, a, lo, hi, length, gram):
@@ -81,22 +93,27 @@ def _around(h, a, lo, hi, length, gram):
     return np.where(lo <= a - half, left, none), np.where(hi >= a + gram + half - length, right, none), whole
 
 
-def _anchored(length: int, gram: int):
+def _anchored(length: int, gram: int, piece: int = 1 << 20):
     names = ["node", "lo", "hi", "at", "l", "r", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for node, text in zip(b.column(0), b.column(1), strict=True):
-                a, lo, hi, h = anchors((text.as_py() or "").encode("utf-8", "surrogatepass"), length, gram)
+            raw, at = texts_of(b.column(1))
+            i = 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(at, at[i] + piece, "right")) - 1)
+                begin = at[i:j] - at[i]
+                a, lo, hi, owner, h = anchors(raw[at[i] : at[j]], at[i : j + 1] - at[i], length, gram)
                 if len(a):
                     sides = [x.view(np.int64) for x in _around(h, a, lo, hi, length, gram)]
-                    yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(a), pa.binary()), *[pa.array(x.astype(np.int32)) for x in (lo, hi, a)], *map(pa.array, sides)], names=names)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i).take(pa.array(owner)), *[pa.array((x - begin[owner]).astype(np.int32)) for x in (lo, hi, a)], *map(pa.array, sides)], names=names)
+                i = j
 
     return run
 
 
 def _contexts(length: int):
-    names = ["node", "lo", "hi", "at", "lead", "around"]
+    names = ["node", "lo", "hi", "at", "key", "around"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,77 +146,114 @@ def multikey_quicksort(keys: list[bytes]) -> list[int]:
     return order
 
 
-def _runs(x: np.ndarray) -> list[tuple[int, int]]:
-    at = np.flatnonzero(x)
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > 1)
-    return list(zip(at[np.concatenate([[0], cut + 1])].tolist(), at[np.append(cut, len(at) - 1)].tolist(), strict=True))
-
-
-def _settled(length: int, share_rows: int):
-    """Rows (node, first, last: starts of repeated windows) or, for runs on a bucket's border or beyond
-    share_rows rows, (node, first, window: a start and its window's hash) that are settled by a count."""
-    names, types = ["node", "first", "last", "window"], (pa.binary(), pa.int32(), pa.int32(), pa.int64())
-
-    def hashes(row) -> np.ndarray:
-        h = prefix_hashes(np.frombuffer(row[4], np.uint8))
-        n = row[2] - row[1] + 1
-        off = (row[3] - row[1] - np.arange(n)).astype(np.uint64)
-        return mixed(window_hashes(h, np.arange(n), length) + off)
-
-    def settle(group, border):
-        if not group or len(group) < 2 and not border:
-            return
-        h = [hashes(r) for r in group]
-        u, at, n = np.unique(np.concatenate(h), return_index=True, return_counts=True)
-        twice = u[n > 1]
-        for row, x in zip(group, h, strict=True):
-            for a, b in _runs(np.isin(x, twice)):
-                yield row[0], row[1] + a, row[1] + b, None
-        if border:
-            # each hash once, for others to meet; only those not settled here need an answer
-            ends = np.cumsum([len(x) for x in h])
-            owner = np.searchsorted(ends, at, "right")
-            for w, i, o, k in zip(u.view(np.int64).tolist(), at.tolist(), owner.tolist(), n.tolist(), strict=True):
-                row = group[o]
-                yield (None, None, None, w) if k > 1 else (row[0], row[1] + i - int(ends[o] - len(h[o])), None, w)
-
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+def common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() + 7) // 8
+
+
+def _neighbours(keys: list[bytes]) -> tuple[list[int], np.ndarray]:
+    """The order of the keys, and what each has in common with the next."""
+    order = multikey_quicksort(keys)
+    return order, np.array([common_prefix(keys[i], keys[j]) for i, j in zip(order, order[1:], strict=False)], np.int64)
+
+
+def repeated_windows(ahead: list[bytes], behind: list[bytes], length: int) -> Iterator[tuple[int, int, int]]:
+    """(i, from, to): the windows of suffix i that begin `from` to `to` bytes before it and that another suffix has as well.
+
+    ahead: suffixes; behind: what stands before each, read backwards. Two have the window that begins u bytes before in common if
+    they agree in u bytes behind and length - u ahead. In sorted order those that agree in d bytes are the runs in which no two
+    neighbours have less than d in common.
+    """
+    n = len(ahead)
+    if n == 2:
+        low, high = length - common_prefix(*ahead), common_prefix(*behind)
+        if low <= high:
+            yield 0, low, high
+            yield 1, low, high
+        return
+    (forth, right), (back, left) = _neighbours(ahead), _neighbours(behind)
+    # between two of these numbers of bytes the runs stay the same
+    cuts = np.unique(np.concatenate([length - right, left + 1]))
+    cuts = cuts[(cuts >= 0) & (cuts <= length)]
+    spot, place = np.empty((2, n), np.int64)
+    spot[forth], place[back] = np.arange(n), np.arange(n)
+    cuts = np.append(cuts, length + 1)
+    twice = np.zeros((len(cuts), n), bool)
+    for k, u in enumerate(cuts[:-1].tolist()):
+        agree = np.concatenate([[0], np.cumsum(right < length - u)])[spot] * n + np.concatenate([[0], np.cumsum(left < u)])[place]
+        order = np.argsort(agree, kind="stable")
+        same = agree[order][1:] == agree[order][:-1]
+        twice[k, order[1:][same]] = True
+        twice[k, order[:-1][same]] = True
+    edge = np.diff(twice.astype(np.int8), axis=0, prepend=0)
+    for i in np.flatnonzero(twice.any(0)).tolist():
+        for a, b in zip(np.flatnonzero(edge[:, i] > 0).tolist(), np.flatnonzero(edge[:, i] < 0).tolist(), strict=True):
+            yield i, int(cuts[a]), int(cuts[b]) - 1
+
+
+RUNS, CONTEXT = "node binary, first int, last int", "node binary, lo int, hi int, at int, key binary, around binary"
+_RUN_TYPES = (pa.binary(), pa.int32(), pa.int32())
+
+
+def _batch(rows: list[tuple], names: list[str], types: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+def _settled(length: int):
+    """Rows (node, first, last: starts of repeated windows) of groups with equal keys, which come together."""
+    names = ["node", "first", "last"]
+
+    def settle(group):
+        if len(group) > 1:
+            ahead, behind = [r[5][r[3] - r[1] :] for r in group], [r[5][: r[3] - r[1]][::-1] for r in group]
+            for i, a, b in repeated_windows(ahead, behind, length):
+                yield group[i][0], group[i][3] - b, group[i][3] - a
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, group, lead, border = [], [], None, True
-
-        def sorted_rows():
-            # rows come in order of their leading bytes; those with equal ones are put in order of all that follows
-            held, last = [], None
-            for b in batches:
-                cols = [b.column(i).to_pylist() for i in range(6)]
-                for node, lo, hi, at, start, around in zip(*cols, strict=True):
-                    if start != last or len(held) >= share_rows:
-                        yield from in_order(held)
-                        held, last = [], start
-                    held.append((node, lo, hi, at, around, start))
-            yield from in_order(held)
-
-        def in_order(held):
-            return [held[i] for i in multikey_quicksort([r[4][r[3] - r[1] :] for r in held])] if len(held) > 1 else held
-
-        for row in sorted_rows():
-            if row[5] != lead:  # neighbours have fewer than GRAM bytes in common
-                out += settle(group, border)
-                group, border, lead = [], lead is None, row[5]
-            group.append(row)
-            if len(group) >= share_rows:
-                out += settle(group, True)
-                group, border = [], True
-            if len(out) > 50_000:
-                yield batch(out)
-                out = []
-        out += settle(group, True)
+        out, group, key = [], [], None
+        for b in batches:
+            for row in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+                if row[4] != key:
+                    out += settle(group)
+                    group, key = [], row[4]
+                group.append(row)
+                if len(out) > 50_000:
+                    yield _batch(out, names, _RUN_TYPES)
+                    out = []
+        out += settle(group)
         if out:
-            yield batch(out)
+            yield _batch(out, names, _RUN_TYPES)
+
+    return run
+
+
+def _refined(length: int):
+    """Suffixes against one that leads their group: runs (first and last are set) of windows that they have in common, and for those
+    beyond these the suffix again, under a key of the byte at which it leaves the leader, on either side."""
+    names, types = [x.split()[0] for x in f"{CONTEXT}, first int, last int".split(", ")], (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        led: set[tuple] = set()
+        for b in batches:
+            out = []
+            for node, lo, hi, at, key, around, (node_l, lo_l, hi_l, at_l, around_l) in zip(*[b.column(i).to_pylist() for i in range(6)], (tuple(x.values()) for x in b.column(6).to_pylist()), strict=True):
+                if (node, at) == (node_l, at_l):
+                    continue
+                ahead, behind = around[at - lo :], around[: at - lo][::-1]
+                right, left = common_prefix(ahead, around_l[at_l - lo_l :]), common_prefix(behind, around_l[: at_l - lo_l][::-1])
+                if length - right <= left:
+                    out.append((node, *[None] * 5, at - left, at - length + right))
+                    leader = (node_l, *[None] * 5, at_l - left, at_l - length + right)
+                    if leader not in led:
+                        if len(led) > 1 << 16:
+                            led.clear()
+                        led.add(leader)
+                        out.append(leader)
+                for side, n, own in ((b"<", left, behind), (b">", right, ahead)):
+                    if n < len(own):
+                        out.append((node, lo, hi, at, hashlib.md5(key + side + n.to_bytes(4, "big") + own[n : n + 1]).digest(), around, None, None))
+            if out:
+                yield _batch(out, names, types)
 
     return run
 
@@ -232,29 +286,40 @@ def _removal(docs: DataFrame, id_col: str, text_col: str, length: int, run_rows:
     """(doc_id, node) of each document, and (node, n_bytes, removed, kept) of each distinct text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("node"), text.alias("text"))
+    spark, kept, once = docs.sparkSession, [], []
     documents = src.select("doc_id", "node")
     texts = stored(src.select("node", "text").groupBy("node").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
-    once: list[str] = []
     spots = stored(texts.select("node", "text").mapInArrow(_anchored(length, GRAM), "node binary, lo int, hi int, at int, l long, r long, whole long"), once)
 
-    # surroundings that repeat as a whole repeat in every window: one stays to meet others
-    full = spots.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("node", "lo")).alias("first")).where("n > 1")
-    rows = spots.join(full.select(F.col("whole").alias("w_"), "first"), F.col("whole") == F.col("w_"), "left")
-    rows = stored(rows.select("node", "lo", "hi", "at", "l", "r", F.col("first").isNotNull().alias("twice"), (F.col("first").isNull() | (F.col("first") == F.struct("node", "lo"))).alias("chosen")))
-    dropped(docs.sparkSession, once)
-    chosen = rows.where("chosen")
-    shared = lambda c: chosen.where(F.col(c) != 0).groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(F.col(c).alias(f"{c}_"))
-    near = chosen.join(shared("l"), F.col("l") == F.col("l_"), "left").join(shared("r"), F.col("r") == F.col("r_"), "left").where("l_ is not null or r_ is not null")
-    places = stored(near.groupBy("node").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("spots")))
-    around = texts.select("node", "text").join(places, "node").mapInArrow(_contexts(length), "node binary, lo int, hi int, at int, lead binary, around binary")
-    partitions = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    buckets = stored(around).repartitionByRange(partitions, "lead").sortWithinPartitions("lead")
-    found = stored(buckets.mapInArrow(_settled(length, run_rows), "node binary, first int, last int, window long"))
-    windows = found.where("window is not null")
-    again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select(F.col("window").alias("w_"))
-    runs = found.where("last is not null").select("node", "first", "last").unionByName(windows.where("node is not null").join(again, F.col("window") == F.col("w_")).select("node", "first", F.col("first").alias("last"))).unionByName(rows.where("twice").select("node", F.col("lo").alias("first"), F.col("hi").alias("last")))
-    runs = runs.groupBy("node").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    return documents, texts.join(runs, "node", "left").select("node", "text", "copies", "runs").mapInArrow(_cut(length), "node binary, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
+    # surroundings that repeat as a whole repeat in every window: one stays to meet others. What a join takes is stored
+    # first, so that adaptive execution can split a hot key
+    again = lambda df, c: stored(df.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(c, F.lit(True).alias(f"{c}_")), kept).hint("shuffle_hash")
+    rows = stored(spots.join(again(spots, "whole"), "whole", "left"), kept)
+    dropped(spark, once)
+    names = ["node", "lo", "hi", "at", "l", "r"]
+    one = rows.where("whole_").groupBy("whole").agg(F.min(F.struct(*names)).alias("one")).select("one.*")
+    chosen = stored(rows.where("whole_ is null").select(*names).unionByName(one), kept)
+    near = chosen.join(again(chosen.where("l <> 0"), "l"), "l", "left").join(again(chosen.where("r <> 0"), "r"), "r", "left").where("l_ or r_")
+    places = near.groupBy("node").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("spots"))
+    group = stored(texts.select("node", "text").join(places, "node").mapInArrow(_contexts(length), CONTEXT), kept)
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = [rows.where("whole_").select("node", F.col("lo").alias("first"), F.col("hi").alias("last"))]
+    while True:
+        hot = stored(group.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > run_rows).select("key"), kept)
+        some = bool(hot.limit(1).count())
+        buckets = (group.join(hot, "key", "left_anti") if some else group).select(*[x.split()[0] for x in CONTEXT.split(", ")])
+        found.append(stored(buckets.repartitionByRange(partitions, "key").sortWithinPartitions("key").mapInArrow(_settled(length), RUNS), kept))
+        if not some:
+            break
+        many = group.join(hot, "key")
+        leaders = stored(many.groupBy("key").agg(F.min(F.struct("node", "lo", "hi", "at", "around")).alias("leader")), kept)
+        parts = stored(many.join(leaders, "key").select(*buckets.columns, "leader").mapInArrow(_refined(length), f"{CONTEXT}, first int, last int"), kept)
+        found.append(parts.where("first is not null").select("node", "first", "last"))
+        group = parts.where("first is null").drop("first", "last")
+    runs = reduce(DataFrame.unionByName, found).groupBy("node").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    results = stored(texts.join(runs, "node", "left").select("node", "text", "copies", "runs").mapInArrow(_cut(length), "node binary, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary"))
+    dropped(spark, kept)
+    return documents, results
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, run_rows: int = 20_000) -> DataFrame:
@@ -263,10 +328,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte is removed if a `length`-byte string that covers it also starts anywhere
     else, in the same document or another. Null text: empty. Documents with equal
     texts repeat each other whole, if long enough. Rows with null or equal ids are
-    kept. An empty table gives no rows. Matches are told by 64-bit hashes.
+    kept, and repeated rows are documents like others. An empty table gives no rows. Other columns are not read. Long
+    texts are held a few at a time. Anchors are told apart by 64-bit hashes, windows by their bytes. A group of suffixes that agree in
+    their leads is sorted in one task up to `run_rows` of them, and split beyond.
     """
     documents, results = _removal(docs, id_col, text_col, length, run_rows)
-    results = stored(results.select(F.col("node").alias("key"), "n_bytes", "removed", F.sha2("kept", 256).alias("kept_sha256")))
+    results = results.select(F.col("node").alias("key"), "n_bytes", "removed", F.sha2("kept", 256).alias("kept_sha256"))
     return documents.join(results, F.col("node") == F.col("key")).select("doc_id", "n_bytes", "removed", "kept_sha256")
 
 
