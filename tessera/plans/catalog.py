@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import operator
+import uuid
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.core import Collection
+from tessera.core import ASC, DESC, Collection, Transformer, make_tuple
+from tessera.functions import udf
+from tessera.operators import fields
 from tessera.operators import relational as rel
+from tessera.sources import targets, text, user
 from tessera.streaming import windows
 
 QUERIES: dict = {}
@@ -74,43 +81,44 @@ def join3(s, d):
     return rel.join(rel.join(orders, customers, on=["custkey"]), nations, on=["nationkey"]).map(o_orderkey="o_orderkey", c_name="c_name", n_name="n_name").df
 
 
-def _by_nation(s, d):
-    nations = of(s, d, "nation").filter("n_nationkey < 20").map(k="n_nationkey", n_name="n_name")
-    suppliers = of(s, d, "supplier").filter("s_nationkey > 4").map(k="s_nationkey", s_name="s_name")
-    customers = of(s, d, "customer").filter("c_nationkey > 9 and c_custkey <= 60").map(k="c_nationkey", c_name="c_name")
-    return nations, suppliers, customers
+def _by_key(s, d):
+    """Three inputs by customer key, of which each has keys that others lack."""
+    customers = of(s, d, "customer").map(k="c_custkey", c_name="c_name")
+    orders = Collection(of(s, d, "orders").group_by(k=F.col("o_custkey")).count("n_orders").df)
+    suppliers = of(s, d, "supplier").map(k="s_suppkey", s_name="s_name")
+    return customers, orders, suppliers
 
 
-_NATION = """with n as (select n_nationkey k, n_name from nation where n_nationkey < 20), s as (select s_nationkey k, s_name from supplier where s_nationkey > 4),
-c as (select c_nationkey k, c_name from customer where c_nationkey > 9 and c_custkey <= 60) """
+_KEYED = """with c as (select c_custkey k, c_name from customer), o as (select o_custkey k, count(*) n_orders from orders group by 1), s as (select s_suppkey k, s_name from supplier) """
 
 
-@query(_NATION + "select n.k, n_name, s_name, c_name from n left join s on n.k = s.k left join c on n.k = c.k")
+@query(_KEYED + "select o.k, n_orders, c_name, s_name from o left join c on o.k = c.k left join s on o.k = s.k")
 def left_join_pivot(s, d):
-    return rel.join(*_by_nation(s, d), on=["k"], how="left").df
+    customers, orders, suppliers = _by_key(s, d)
+    return rel.join(orders, customers, suppliers, on=["k"], how="left").df
 
 
-@query(_NATION + "select c.k, n_name, s_name, c_name from c left join s on c.k = s.k left join n on c.k = n.k")
+@query(_KEYED + "select s.k, c_name, n_orders, s_name from s left join c on c.k = s.k left join o on o.k = s.k")
 def right_join_pivot(s, d):
-    return rel.join(*_by_nation(s, d), on=["k"], how="right").df
+    return rel.join(*_by_key(s, d), on=["k"], how="right").df
 
 
-@query(_NATION + "select k, n_name, s_name, c_name from n full join s using (k) full join c using (k)")
+@query(_KEYED + "select k, c_name, n_orders, s_name from c full join o using (k) full join s using (k)")
 def full_join(s, d):
-    return rel.join(*_by_nation(s, d), on=["k"], how="full").df
+    return rel.join(*_by_key(s, d), on=["k"], how="full").df
 
 
-@query("""select c.c_custkey as key, c.c_acctbal as balance, c.c_name, s.s_name from (select * from customer where c_custkey % 3 = 0) c
-full join (select * from supplier where s_suppkey % 2 = 0) s on c.c_custkey = s.s_suppkey""")
+@query("""select c.c_custkey as key, coalesce(c.c_acctbal, s.s_acctbal) as balance, c.c_name, s.s_name from customer c full join supplier s on c.c_custkey = s.s_suppkey + 7""")
 def schema_join_merge(s, d):
-    a = of(s, d, "customer").filter("c_custkey % 3 = 0").map(key="c_custkey", balance="c_acctbal", c_name="c_name")
-    b = of(s, d, "supplier").filter("s_suppkey % 2 = 0").map(key="s_suppkey", balance="s_acctbal", s_name="s_name")
-    return rel.merge_join(a, b, ["key"], "full").df
+    a = of(s, d, "customer").map(key="c_custkey", balance="c_acctbal", c_name="c_name")
+    b = of(s, d, "supplier").map(key=F.col("s_suppkey") + 7, other="s_acctbal", s_name="s_name")
+    out = rel.merge_join(a, b, ["key"], "full")
+    return out.map(key="key", balance=F.coalesce("balance", "other"), c_name="c_name", s_name="s_name").df
 
 
-@query("select c_nationkey as k from customer where c_nationkey not in (select s_nationkey from supplier)")
+@query("select o_custkey as k from orders where o_custkey not in (select s_suppkey from supplier)")
 def subtract_dups(s, d):
-    return rel.subtract(of(s, d, "customer").map(k="c_nationkey"), of(s, d, "supplier").map(k="s_nationkey")).df
+    return rel.subtract(of(s, d, "orders").map(k="o_custkey"), of(s, d, "supplier").map(k="s_suppkey")).df
 
 
 @query("select c_nationkey as k from customer intersect select s_nationkey from supplier")
@@ -158,9 +166,10 @@ def running_sum(s, d):
     return e.df.select("event_id", "user_id", "running")
 
 
-@query("select r_name, n_name from region, nation")
+@query("select * from (select o_orderstatus, count(*) orders from orders group by 1), (select l_returnflag, count(*) lines from lineitem group by 1)")
 def cartesian(s, d):
-    return rel.cartesian(of(s, d, "region", "r_name"), of(s, d, "nation", "n_name")).df
+    orders = Collection(of(s, d, "orders").group_by("o_orderstatus").count("orders").df)
+    return rel.cartesian(orders, Collection(of(s, d, "lineitem").group_by("l_returnflag").count("lines").df)).df
 
 
 @query("select distinct o_custkey, o_orderstatus from orders")
@@ -176,30 +185,29 @@ def null_key_join(s, d):
     return rel.join(a, Collection(e.df.select("k").distinct()), on=["k"]).map(event_type="event_type", n="n").df
 
 
-@query("""with recursive e as (select distinct o_custkey % 50 src, o_orderkey % 50 dst from orders), r(i, node, value) as (
+@query("""with recursive e as (select o_custkey src, o_orderkey dst from orders), r(i, node, value) as (
 select 0, node, cast(1 as bigint) from (select src node from e union select dst from e) union all
 select i + 1, dst, cast(sum(value) as bigint) from (select r.i, e.dst, r.value from r join e on e.src = r.node where r.i < 3) group by i, dst)
 select node, value from r where i = 3""")
 def pagerank3(s, d):
-    e = of(s, d, "orders").df.select((F.col("o_custkey") % 50).alias("src"), (F.col("o_orderkey") % 50).alias("dst")).distinct()
-    return rel.pagerank(e, 3)
+    return rel.pagerank(of(s, d, "orders").df.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")), 3)
 
 
 @query("""select l_returnflag, l_linestatus, count(*) n, cast(sum(l_linenumber) as bigint) lines from lineitem group by rollup (l_returnflag, l_linestatus)""")
 def rollup_levels(s, d):
-    return of(s, d, "lineitem").df.rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("lines"))
+    return of(s, d, "lineitem").rollup("l_returnflag", "l_linestatus", n=F.count(F.lit(1)), lines=F.sum("l_linenumber")).df
 
 
 @query("select l_suppkey, max(l_extendedprice) max_price, min(l_extendedprice) min_price from lineitem group by 1")
 def max_min(s, d):
-    t = of(s, d, "lineitem").group_by("l_suppkey")
-    return rel.join(Collection(t.max("l_extendedprice", "max_price").df), Collection(t.min("l_extendedprice", "min_price").df), on=["l_suppkey"]).df
+    t = fields.group_by(of(s, d, "lineitem", "l_suppkey", "l_extendedprice"), "l_suppkey")
+    return fields.agg(t, lambda c: {"max_price": F.max(c.l_extendedprice), "min_price": F.min(c.l_extendedprice)}).df
 
 
-@query("select n_regionkey, string_agg(n_name, '>' order by n_name) names from nation group by 1")
+@query("select o_custkey, string_agg(o_orderstatus, '>' order by o_orderkey) statuses from orders group by 1")
 def fold_ordered(s, d):
-    t = of(s, d, "nation").group_by("n_regionkey").sort_by("n_name")
-    return t.fold(F.lit(""), lambda acc, x: F.when(acc == "", x).otherwise(F.concat(acc, F.lit(">"), x)), "names", F.col("n_name")).flatten()
+    t = of(s, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus").group_by("o_custkey").sort_by("o_orderkey")
+    return t.fold(F.lit(""), lambda acc, x: F.when(acc == "", x).otherwise(F.concat(acc, F.lit(">"), x)), "statuses", F.col("o_orderstatus")).flatten()
 
 
 @query("select o_custkey, o_orderkey, o_totalprice - (select round(max(o_totalprice), 2) from orders) gap from orders where o_totalprice > 400000")
@@ -215,11 +223,11 @@ def nested_two_levels(s, d):
     return of(s, d, "customer").group_by("c_mktsegment").apply_values(lambda t: t.group_by("c_nationkey").apply_values(count)).flatten()
 
 
-@query("""select coalesce(a.k, b.k) k, coalesce(a.n, 0) customers, coalesce(b.n, 0) suppliers from (select c_nationkey k, count(*) n from customer where c_nationkey < 15 group by 1) a
-full join (select s_nationkey k, count(*) n from supplier group by 1) b on a.k = b.k""")
+@query("""select coalesce(a.k, b.k) k, coalesce(a.n, 0) orders, coalesce(b.n, 0) suppliers from (select o_custkey k, count(*) n from orders group by 1) a
+full join (select s_suppkey k, count(*) n from supplier group by 1) b on a.k = b.k""")
 def cogroup_counts(s, d):
-    a, b = rel.cogroup(of(s, d, "customer").filter("c_nationkey < 15").map(k="c_nationkey"), of(s, d, "supplier").map(k="s_nationkey"), on=["k"])
-    return rel.join(Collection(a.count("customers").df), Collection(b.count("suppliers").df), on=["k"]).df
+    a, b = rel.cogroup(of(s, d, "orders").map(k="o_custkey"), of(s, d, "supplier").map(k="s_suppkey"), on=["k"])
+    return rel.join(Collection(a.count("orders").df), Collection(b.count("suppliers").df), on=["k"]).df
 
 
 @query("select time_bucket(interval '1 hour', ts) window_start, event_type, count(*) n from events group by 1, 2")
@@ -233,3 +241,247 @@ case when ts - lag(ts) over (partition by user_id order by ts, event_id) < inter
 def window_session(s, d):
     out = windows.sessions(of(s, d, "events").df, "ts", "30 minutes", ("user_id",), n=F.count(F.lit(1)))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("select o_custkey, case when sum(cast(o_totalprice as bigint)) > 500000 then 1 else 0 end as count from orders group by 1")
+def empty_group_chain(s, d):
+    t = of(s, d, "orders").map(o_custkey="o_custkey", price=F.col("o_totalprice").cast("long")).group_by("o_custkey").sum("price")
+    return t.filter("price > 500000").sum("price").count().flatten()
+
+
+_GROUPED = """with a as (select o_orderpriority p, o_custkey k from orders where o_orderstatus = 'F'), b as (select o_orderpriority p, o_custkey k from orders where o_orderstatus = 'O') """
+
+
+def _statuses(s, d):
+    t = of(s, d, "orders", "o_orderpriority", "o_custkey", "o_orderstatus")
+    part = lambda status: t.filter(F.col("o_orderstatus") == status).map(p="o_orderpriority", k="o_custkey").group_by("p")
+    return part("F"), part("O")
+
+
+@query(_GROUPED + "select p, k from a intersect all select p, k from b")
+def grouped_intersection(s, d):
+    return rel.intersection(*_statuses(s, d), duplicated=True).flatten()
+
+
+@query(_GROUPED + "select p, k from a where not exists (select 1 from b where b.p = a.p and b.k = a.k)")
+def grouped_subtract(s, d):
+    return rel.subtract(*_statuses(s, d)).flatten()
+
+
+@query(_GROUPED + """select p, k, cast(sum(x) as bigint) count_a, cast(sum(y) as bigint) count_b from (select p, k, 1 x, 0 y from a union all select p, k, 0, 1 from b) group by 1, 2 having sum(x) <> sum(y)""")
+def grouped_diff(s, d):
+    return rel.diff(*_statuses(s, d)).flatten()
+
+
+@query(_GROUPED + "select a.p, a.k, n, m from (select p, k, count(*) n from a group by 1, 2) a join (select p, k, count(*) m from b group by 1, 2) b on a.p = b.p and a.k = b.k")
+def grouped_join(s, d):
+    a, b = _statuses(s, d)
+    a, b = (t.group_by("k").count(n).ungroup() for t, n in ((a, "n"), (b, "m")))
+    return rel.join(a, b, on=["k"]).flatten()
+
+
+@query(_GROUPED + "select * from (select p, min(k) lo, max(k) hi from a group by 1) join (select p, count(*) n from b group by 1) using (p)")
+def grouped_cartesian(s, d):
+    a, b = _statuses(s, d)
+    return rel.cartesian(fields.agg(a, lambda c: {"lo": F.min(c.k), "hi": F.max(c.k)}), b.count("n")).flatten()
+
+
+@query(_GROUPED + "select p, count(*) as count from (select * from a union all select * from b) group by 1")
+def grouped_union(s, d):
+    return rel.union(*_statuses(s, d)).count().flatten()
+
+
+@query("""select l_suppkey, cast(floor(sum(l_linenumber) / count(*)) as bigint) whole, cast(sum(l_linenumber) % count(*) as bigint) rest, count(*) > 50 as many from lineitem group by 1""")
+def scalar_arithmetic(s, d):
+    t = of(s, d, "lineitem", "l_suppkey", "l_linenumber").group_by("l_suppkey")
+    total, n = t.sum("l_linenumber"), t.count()
+    out = make_tuple(total / n, total % n, n > 50).df
+    return out.select("l_suppkey", F.col("tuple._0").alias("whole"), F.col("tuple._1").alias("rest"), F.col("tuple._2").alias("many"))
+
+
+@query("""select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_orderpriority, o_totalprice desc, o_orderkey) <= 3""")
+def sort_mixed_take(s, d):
+    t = of(s, d, "orders", "o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice").group_by("o_custkey")
+    return t.sort_by(ASC("o_orderpriority"), DESC("o_totalprice"), "o_orderkey").take(3).map(o_orderkey="o_orderkey").flatten()
+
+
+@query("select o_custkey, max_by(o_orderkey, o_totalprice * 100000000 + o_orderkey) dearest, min_by(o_orderkey, o_totalprice * 100000000 + o_orderkey) cheapest from orders group by 1")
+def max_by_key(s, d):
+    t = of(s, d, "orders", "o_custkey", "o_orderkey", "o_totalprice").group_by("o_custkey")
+    by = F.col("o_totalprice") * 100000000 + F.col("o_orderkey")
+    return rel.cartesian(t.max("o_orderkey", "dearest", by=by), t.min("o_orderkey", "cheapest", by=by)).flatten()
+
+
+@query("select o_custkey, string_agg(o_orderstatus, '' order by o_orderkey) as text from orders group by 1")
+def sum_of_text(s, d):
+    return of(s, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus").group_by("o_custkey").sort_by("o_orderkey").sum("o_orderstatus", "text").flatten()
+
+
+@query("select user_id, string_agg(event_type, ',' order by ts, event_id) as kinds from events group by 1")
+def to_list_ordered(s, d):
+    t = of(s, d, "events", "user_id", "event_id", "ts", "event_type").group_by("user_id").sort_by("ts", "event_id")
+    return t.to_list("l").df.select("user_id", F.array_join(F.transform("l", lambda x: x["event_type"]), ",").alias("kinds"))
+
+
+@query("""select c_mktsegment, string_agg(c_nationkey || ':' || n, ',' order by c_nationkey) as counts from (select c_mktsegment, c_nationkey, count(*) n from customer group by 1, 2) group by 1""")
+def to_dict_nested(s, d):
+    t = of(s, d, "customer", "c_mktsegment", "c_nationkey").update(one=F.lit(1)).group_by("c_mktsegment", "c_nationkey").count()
+    return t.to_dict().df.select(F.explode("dict").alias("c_mktsegment", "m")).select("c_mktsegment", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("counts"))
+
+
+@query("select o_orderpriority || '/' || o_orderstatus as label, count(*) n from orders group by 1")
+def apply_key_values(s, d):
+    t = of(s, d, "orders", "o_orderpriority", "o_orderstatus").group_by("o_orderpriority")
+    labelled = t.apply_key_values(lambda key, p: p.map(lambda status, k: {"label": F.concat_ws("/", k, status)}, key))
+    return Collection(labelled.df).map(label="label").group_by("label").count("n").flatten()
+
+
+@query("select o_custkey, count(*) n from orders where o_orderpriority in (select o_orderpriority from orders group by 1 having count(*) > (select count(*) / 5 from orders)) group by 1")
+def collection_side_input(s, d):
+    orders = of(s, d, "orders", "o_custkey", "o_orderpriority")
+    usual = Collection(of(s, d, "orders", "o_orderpriority").group_by("o_orderpriority").count("n").df)
+    fifth = of(s, d, "orders").count().map(f=F.col("count") / 5)
+    frequent = usual.filter(lambda r, f: r.n > f, fifth).map(o_orderpriority="o_orderpriority")
+    return orders.filter(lambda r, side: F.array_contains(side, r.o_orderpriority), frequent).group_by("o_custkey").apply_values(udf.count("n")).flatten()
+
+
+@query("select date_trunc('month', o_orderdate) as month, count(*) n from orders group by 1")
+def group_by_function(s, d):
+    return of(s, d, "orders", "o_orderdate").group_by(month=lambda at: F.date_trunc("month", at).cast("timestamp_ntz")).count("n").flatten()
+
+
+@query("select lower(n) as name, x from (select c_name n, unnest([c_custkey, c_nationkey]) x from customer)")
+def select_product(s, d):
+    return fields.select(of(s, d, "customer"), lambda c: {"name": F.lower(c.c_name), "x": fields.each(F.array(c.c_custkey, c.c_nationkey.cast("long")))}).df
+
+
+@query("""select l_suppkey, n, flag from (select l_suppkey, count(*) n from lineitem group by 1) join (select distinct l_suppkey, l_returnflag flag from lineitem) using (l_suppkey)""")
+def agg_product(s, d):
+    t = fields.group_by(of(s, d, "lineitem", "l_suppkey", "l_returnflag"), "l_suppkey")
+    return fields.flatten(fields.agg_as(t, "l_returnflag => n, flag", lambda flag: (F.count(flag), fields.each(F.collect_set(flag))))).df
+
+
+@query("select c_custkey, c_name, s_suppkey, s_name from customer left join supplier on c_nationkey = s_nationkey and c_custkey % 100 = s_suppkey % 100")
+def record_join(s, d):
+    a = fields.update(of(s, d, "customer", "c_custkey", "c_name", "c_nationkey"), lambda c: {"n": c.c_nationkey, "m": c.c_custkey % 100})
+    b = fields.update(of(s, d, "supplier", "s_suppkey", "s_name", "s_nationkey"), lambda c: {"n": c.s_nationkey, "m": c.s_suppkey % 100})
+    return fields.left_join(a, b, fields="n, m").df.select("_0.c_custkey", "_0.c_name", "_1.s_suppkey", "_1.s_name")
+
+
+@query("select distinct o_custkey, o_orderpriority from orders")
+def distinct_by_fields(s, d):
+    return fields.select(fields.distinct(of(s, d, "orders"), "o_custkey, o_orderpriority"), "o_custkey, o_orderpriority").df
+
+
+@query("select cast(c_custkey as varchar) as key, c_acctbal > 0 as positive from customer")
+def typed_fields(s, d):
+    p = fields.tuple_to_dict(of(s, d, "customer", "c_custkey", "c_acctbal"), "key, balance")
+    return fields.as_schema(fields.update(p, lambda c: {"balance": c.balance > 0}), fields.of("key", ("positive", "boolean"))).df
+
+
+# functions that run as Python
+
+
+@query("select l_returnflag, count(*) n from lineitem where cast(l_quantity as bigint) % 7 = 3 group by 1")
+def python_filter_map(s, d):
+    p = of(s, d, "lineitem", "l_returnflag", "l_quantity").filter(lambda r: int(r.l_quantity) % 7 == 3, opaquely=True)
+    return p.map(lambda r: r.l_returnflag, returns="l_returnflag string").update(one=F.lit(1)).group_by("l_returnflag").count("n").flatten()
+
+
+@query("select word, count(*) n from (select unnest(string_split(lower(props), ',')) as word from events) group by 1")
+def python_flat_map(s, d):
+    p = of(s, d, "events", "props").filter("props is not null").flat_map(lambda props: props.lower().split(","), returns="word string")
+    return p.update(one=F.lit(1)).group_by("word").count("n").flatten()
+
+
+@query("select l_suppkey, cast(sum(l_linenumber) as bigint) total, count(*) n from lineitem group by 1")
+def python_aggregate(s, d):
+    t = of(s, d, "lineitem", "l_suppkey", "l_linenumber").group_by("l_suppkey")
+    return t.aggregate((0, 0), lambda a, x: (a[0] + x, a[1] + 1), lambda a, b: (a[0] + b[0], a[1] + b[1]), "total long, n long").flatten()
+
+
+@query("select o_custkey, bit_xor(o_orderkey) x, cast(sum(o_orderkey) as bigint) total from orders group by 1")
+def python_reduce_combine(s, d):
+    t = of(s, d, "orders", "o_custkey", "o_orderkey").group_by("o_custkey")
+    return rel.cartesian(t.reduce(lambda a, b: a ^ b, returns="x long"), t.combine(lambda xs: sum(xs), "total long")).flatten()
+
+
+@query("select l_suppkey, cast(sum(l_linenumber) as bigint) l_linenumber from lineitem group by 1")
+def builtin_reduce(s, d):
+    return of(s, d, "lineitem", "l_suppkey", "l_linenumber").group_by("l_suppkey").reduce(operator.add).flatten()
+
+
+@query("select event_id, user_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)), 0) gap from events")
+def python_transform(s, d):
+    class Gaps(Transformer):
+        def begin_process(self):
+            self.last = None
+            return ()
+
+        def process(self, r):
+            yield (r.event_id, 0 if self.last is None else (r.ts - self.last) // timedelta(microseconds=1))
+            self.last = r.ts
+
+    t = of(s, d, "events", "user_id", "event_id", "ts").group_by("user_id").sort_by("ts", "event_id")
+    return t.transform(Gaps(), returns="event_id long, gap long").flatten()
+
+
+@query("select user_id, string_agg(substr(event_type, 1, 1), '' order by ts, event_id) as path from events group by 1")
+def python_accumulate(s, d):
+    t = of(s, d, "events", "user_id", "event_id", "ts", "event_type").group_by("user_id").sort_by("ts", "event_id")
+    return t.accumulate("", lambda path, r: path + r.event_type[:1], "path string").flatten()
+
+
+# sources and sinks, there and back
+
+
+def _folder(s) -> str:
+    """A new path in the folder that the cluster shares."""
+    import tempfile
+
+    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+
+
+@query("select c_custkey, c_name, c_nationkey, c_mktsegment from customer")
+def fields_there_and_back(s, d):
+    path = _folder(s)
+    targets.write(of(s, d, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment"), targets.TextTarget(path, separator="|").with_compression())
+    return text.read_fields(s, path, columns="c_custkey long, c_name string, c_nationkey int, c_mktsegment string", separator="|").df
+
+
+@query("select o_orderpriority, count(*) n, min(o_orderkey) least from orders group by 1")
+def files_by_key(s, d):
+    path = _folder(s)
+    orders = of(s, d, "orders", "o_orderpriority", "o_orderkey")
+    text.write_fields(orders, path, ["o_orderpriority", "o_orderkey"], partitions=5, partition_id=F.substring("o_orderpriority", 1, 1).cast("int") - 1, sort_by=[F.asc("o_orderkey")])
+    t = text.read_fields(s, path, columns="o_orderpriority string, o_orderkey long", partitioned=True)
+    out = fields.agg(t, lambda c: {"o_orderpriority": F.min(c.o_orderpriority), "n": F.count(F.lit(1)), "least": F.min(c.o_orderkey)})
+    return out.flatten_values().df
+
+
+@query("select s_suppkey, s_name from supplier")
+def pairs_there_and_back(s, d):
+    path = _folder(s)
+    text.write_sequence(of(s, d, "supplier", "s_suppkey", "s_name"), path, "s_suppkey", "s_name", lambda k: k.to_bytes(8, "big"), str.encode)
+    return text.read_sequence(s, path, decode_key=lambda b: int.from_bytes(b, "big"), decode_value=bytes.decode, returns="s_suppkey long, s_name string").df
+
+
+@query("select c_mktsegment, c_custkey from customer")
+def pipe_by_key(s, d):
+    t = of(s, d, "customer", "c_mktsegment", "c_custkey").group_by("c_mktsegment")
+    return text.pipe(t, "cat", ["c_custkey"], returns="c_custkey string").df.select("c_mktsegment", F.col("c_custkey").cast("long"))
+
+
+@query("select p_brand, count(*) n from part group by 1")
+def user_source(s, d):
+    """A user's source whose splits are the brands, each read from a table that Spark wrote."""
+    brands = [r.p_brand for r in of(s, d, "part", "p_brand").distinct().df.orderBy("p_brand").limit(1000).collect()]
+    p = user.read_user(s, brands, lambda brand: iter([(brand,)]), "p_brand string")
+    return rel.join(p, of(s, d, "part", "p_brand", "p_partkey"), on=["p_brand"]).group_by("p_brand").count("n").flatten()
+
+
+@query("""select window_start, event_type, count(*) n from (select event_type, unnest([time_bucket(interval '30 minutes', ts), time_bucket(interval '30 minutes', ts) - interval '30 minutes']) window_start from events) group by 1, 2""")
+def window_sliding(s, d):
+    t = windows.window_into(of(s, d, "events").group_by("event_type"), "ts", "60 minutes", slide="30 minutes").count("n")
+    return t.df.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
