@@ -24,8 +24,13 @@ from tessera.llm.common import pick, stored, table
 WIDTH = 576
 #: Rows of samples in a frame that the encoder writes, and its time on screen in hundredths of a second.
 ROWS, DELAY = 64, 4
-FRAMES = "id long, frame int, start_ms long, delay_ms int, x int, y int, width int, height int, pixels binary, histogram array<int>"
-SUMMARY = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, frames int"
+FRAMES = "id long, frame int, start_ms long, delay_ms int, x int, y int, width int, height int, pixels binary, histogram array<int>, error string"
+TIMED = "array<struct<start_ms:long,delay_ms:int,x:int,y:int,width:int,height:int,histogram:array<int>>>"
+SUMMARY = f"id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, frames int, timed {TIMED}, error string, media_bytes long, media_sha256 string"
+#: Pixels of the largest canvas that is decoded.
+MOST_PIXELS = 1 << 26
+#: What the decoder raises on a stream that is not a whole GIF.
+BROKEN = (ValueError, IndexError, KeyError, struct.error)
 
 
 def _widths(first: int, n: int) -> np.ndarray:
@@ -159,6 +164,8 @@ def gif_frames(data: bytes, comments: list[bytes] | None = None) -> Iterator[Fra
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > MOST_PIXELS:
+        raise ValueError("the canvas is too large")
     shared, at = _palette(data, 13, flags)
     canvas = np.zeros((height, width), dtype=np.uint32)
     dispose, delay, clear_index, clock = 0, 0, None, 0
@@ -226,39 +233,65 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _summary(media: bytes) -> tuple:
-    """n_bytes, the payload's length, hash and tail checksum, a feature, and the number of frames; read from the media."""
+    """n_bytes, the payload's length, hash and tail checksum, a feature, the number of frames, and these with their times and histograms; read from the media."""
     comments: list[bytes] = []
-    sha, size, tail, total, n, ms = hashlib.sha256(), 0, b"", np.zeros(64, np.int64), 0, 0
+    sha, size, tail, total, ms, timed = hashlib.sha256(), 0, b"", np.zeros(64, np.int64), 0, []
     for f in gif_frames(media, comments):
         x, y, w, h = f.box
         shown = f.canvas[y : y + h, x : x + w]
         samples = (shown & 0xFF).astype(np.uint8).tobytes()
         sha.update(samples)
-        size, tail, n, ms = size + len(samples), (tail + samples[-32:])[-32:], n + 1, f.start_ms + f.delay_ms
-        total += histogram(shown)
-    n_bytes = int(comments[0].removeprefix(b"bytes "))
-    feature = f"{n} frames {ms} ms " + " ".join(f"{i}:{v}" for i, v in enumerate(total.tolist()) if v)
-    return n_bytes, size, sha.hexdigest(), zlib.crc32(tail), feature, n
+        size, tail, ms = size + len(samples), (tail + samples[-32:])[-32:], f.start_ms + f.delay_ms
+        own = histogram(shown)
+        total += own
+        timed.append((f.start_ms, f.delay_ms, x, y, w, h, own.tolist()))
+    n_bytes = int(comments[0].removeprefix(b"bytes ")) if comments and comments[0].startswith(b"bytes ") else None
+    feature = f"{len(timed)} frames {ms} ms " + " ".join(f"{i}:{v}" for i, v in enumerate(total.tolist()) if v)
+    return n_bytes, size, sha.hexdigest(), zlib.crc32(tail), feature, len(timed), timed
+
+
+_HISTOGRAM = pa.list_(pa.int32())
+_TIMED = pa.list_(pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", _HISTOGRAM)]))
+_TIMED_NAMES = [f.name for f in _TIMED.value_type]
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32())
-    names = [x.split()[0] for x in SUMMARY.split(", ")]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), _TIMED, pa.string(), pa.int64(), pa.string())
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "frames", "timed", "error", "media_bytes", "media_sha256"]
     for b in batches:
-        rows = [(i, *_summary(m.as_py())) for i, m in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+        rows = []
+        for i, m in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            data, error = m.as_py(), None
+            if data is None:
+                rows.append((i, *[None] * 10))
+                continue
+            try:
+                got = _summary(data)
+                got = (*got[:-1], [dict(zip(_TIMED_NAMES, t, strict=True)) for t in got[-1]])
+            except BROKEN as e:
+                got, error = (None,) * 7, f"{type(e).__name__}: {e}"
+            rows.append((i, *got, error, len(data), hashlib.sha256(data).hexdigest()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), _HISTOGRAM, pa.string())
     names = [x.split()[0] for x in FRAMES.split(", ")]
+    batch = lambda row: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
     for b in batches:
         for i, media in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            for k, f in enumerate(gif_frames(media.as_py()) if media.is_valid else ()):
+            if not media.is_valid:
+                continue
+            try:  # a stream that breaks off later has no frames at all, so it is read through before
+                for _ in gif_frames(media.as_py()):
+                    pass
+            except BROKEN as e:
+                yield batch((i, *[None] * 9, f"{type(e).__name__}: {e}"))
+                continue
+            for k, f in enumerate(gif_frames(media.as_py())):
                 h, w = f.canvas.shape
-                row = (i, k, f.start_ms, f.delay_ms, *f.box[:2], w, h, f.canvas.astype("<u4").tobytes(), histogram(f.canvas).tolist())
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
+                yield batch((i, k, f.start_ms, f.delay_ms, *f.box[:2], w, h, f.canvas.astype("<u4").tobytes(), histogram(f.canvas).tolist(), None))
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,23 +304,22 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def frames(media: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
-    """A row for each timed frame of GIFs of any origin: the canvas shown (0xAARRGGBB) and its histogram. Null media has no frames."""
+    """A row for each timed frame of GIFs of any origin: the canvas shown (0xAARRGGBB) and its histogram.
+
+    Null media has no frames. Media that is not a whole GIF, or whose canvas has more than MOST_PIXELS, gives one row that
+    has an error and no frame. Repeated rows each give their frames; an empty table gives none; other columns are not read.
+    """
     return pick(media, id_col, media_col).mapInArrow(_frames, FRAMES)
 
 
-def summaries(media: DataFrame) -> DataFrame:
-    """What encoded() stored, read back from the media alone."""
-    return pick(media, "id", "media").mapInArrow(_summaries, SUMMARY)
+def summaries(media: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
+    """A row for each of media, read back from the media alone: what encoded() stored, and the frames with their times, places and
+    histograms (`timed`). Null media gives nulls, broken media an error; other GIFs have no n_bytes."""
+    return pick(media, id_col, media_col).mapInArrow(_summaries, SUMMARY)
 
 
 def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as GIFs, stored; then their timed frames with histograms, stored as well; and from these the digests."""
     media = stored(encoded(table(spark, sf_dir, "documents")))
-    both = media.mapInArrow(_with_media, f"{SUMMARY}, media_bytes long, media_sha256 string")
-    return both.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames")
-
-
-def _with_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for got in _summaries(iter([b])):
-            media = [m.as_py() for m in b.column(1)]
-            yield got.append_column("media_bytes", pa.array([len(m) for m in media], pa.int64())).append_column("media_sha256", pa.array([hashlib.sha256(m).hexdigest() for m in media]))
+    timed = stored(summaries(media))
+    return timed.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames")

@@ -92,3 +92,17 @@ def test_texts_round_trip(spark):
     fr = media.frames(m).where("id = 5").orderBy("frame").collect()
     assert len(fr) == got[5].frames and sum(map(sum, (f.histogram for f in fr))) == 576 * 64 * len(fr) and fr[1].start_ms == 40
     assert media.summaries(media.encoded(df.limit(0))).count() == 0
+
+
+def test_broken_and_null_media_have_defined_results(spark):
+    whole = media.gif_of(b"\x07" * 576, 3)
+    wide = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+    cases = {1: whole, 2: whole[:-40], 3: b"not a gif", 4: None, 5: b"", 6: wide, 7: whole[:-1]}
+    m = spark.createDataFrame(list(cases.items()), "id long, media binary")
+    fr = {}
+    for r in media.frames(m).collect():
+        fr.setdefault(r.id, []).append((r.frame, r.error is None))
+    assert fr == {1: [(0, True)], 2: [(None, False)], 3: [(None, False)], 5: [(None, False)], 6: [(None, False)], 7: [(0, True)]}
+    got = {r.id: r for r in media.summaries(m).collect()}
+    assert got[1].n_bytes == 3 and got[1].timed[0].histogram[0] == 576 and got[1].error is None
+    assert got[4].frames is None and got[4].error is None and got[2].error and got[2].frames is None and got[3].media_bytes == 9
