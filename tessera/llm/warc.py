@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick, stored, table
+from tessera.llm.common import pick, scratch, stored, table
 
 RECORDS = "archive string, offset long, size long, gap string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
@@ -39,7 +40,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if page_id is not None:
         head.append(f"WARC-Page-ID: {page_id}")
     if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20%]", lambda m: f"%{ord(m[0]):02X}", url))
+        target = re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url)
+        head.append(f"WARC-Target-URI: {target}")
+        if target != url:  # what stands there as it is, so that reading gives the same string
+            head.append(f"WARC-Page-URL: {json.dumps(url)}")
     if revisit:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}", f"WARC-Block-Digest: sha1:{base32(hashlib.sha1(block).digest())}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
@@ -57,32 +61,47 @@ def _member(data: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(out), min(pos, len(data)) - len(d.unused_data)
 
 
+class Damaged(ValueError):
+    """A record whose header can be read, but whose check fails; `end` is where it says that it ends."""
+
+    def __init__(self, why: str, end: int):
+        super().__init__(why)
+        self.end = end
+
+
+_HEAD_END, _TAIL = re.compile(rb"\r\n\r\n|\n\n"), re.compile(rb"\r\n\r\n|\n\n")
+
+
 def _parsed(data: bytes | memoryview, at: int, exact: bool) -> tuple[dict, bytes, int]:
-    """Headers (names in lower case) and block of the record at `at`, tested, and where it ends."""
-    stop = -1
-    size = 4096
-    while stop < 0:
+    """Headers (names in lower case) and block of the record at `at`, tested, and where it ends. Lines end with CR LF or with LF alone."""
+    found, size = None, 4096
+    while found is None:
         head = bytes(data[at : at + size])
-        stop = head.find(b"\r\n\r\n")
-        if stop < 0 and len(head) < size:
+        found = _HEAD_END.search(head)
+        if found is None and len(head) < size:
             raise ValueError("the header has no end")
         size *= 4
-    lines = head[:stop].decode("utf-8", "strict").split("\r\n")
+    lines = re.split("\r?\n", head[: found.start()].decode("utf-8", "strict"))
     if not lines[0].startswith("WARC/1."):
         raise ValueError("there is no version line")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     length = int(fields["content-length"])
-    begin = at + stop + 4
+    begin = at + found.end()
     block, end = bytes(data[begin : begin + length]), begin + length
-    if length < 0 or len(block) != length or bytes(data[end : end + 4]) != b"\r\n\r\n" or exact and end + 4 != len(data):
+    tail = _TAIL.match(bytes(data[end : end + 4]))
+    if length < 0 or len(block) != length or tail is None or exact and end + tail.end() != len(data):
         raise ValueError("the length is wrong")
-    if (said := fields.get("warc-block-digest", "")).startswith("sha1:") and said[5:] != base32(hashlib.sha1(block).digest()):
-        raise ValueError("the block digest is wrong")
-    return fields, block, end + 4
+    if (said := fields.get("warc-block-digest", "")).startswith("sha1:") and said[5:].upper() != base32(hashlib.sha1(block).digest()):
+        raise Damaged("the block digest is wrong", end + tail.end())
+    return fields, block, end + tail.end()
 
 
 def salvage(content: bytes) -> Iterator[tuple[int, int, str | None, dict, bytes]]:
-    """(offset, size, gap, headers, block): gap is None for a record, else why its bytes are quarantined."""
+    """(offset, size, gap, headers, block): gap is None for a record, else why its bytes are quarantined.
+
+    A record that only its digest proves damaged is passed over whole if it ends where the archive does or another begins, so that
+    a version line within its block is not taken for a record.
+    """
     data, at, lost, why = memoryview(content), 0, -1, ""
     while at < len(data):
         try:
@@ -94,6 +113,9 @@ def salvage(content: bytes) -> Iterator[tuple[int, int, str | None, dict, bytes]
         except (ValueError, KeyError, zlib.error) as error:
             if lost < 0:
                 lost, why = at, str(error) or type(error).__name__
+            if isinstance(error, Damaged) and data[at : at + 2] != b"\x1f\x8b" and (error.end == len(data) or _START.match(content, error.end)):
+                at = error.end
+                continue
             found = _START.search(content, at + 1)
             at = found.start() if found else len(data)
             continue
@@ -150,12 +172,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     kind, payload = fields.get("warc-type"), block
                     if fields.get("content-type", "").startswith("application/http"):
-                        payload = block.partition(b"\r\n\r\n")[2]
+                        payload = block[m.end() :] if (m := _HEAD_END.search(block)) else b""
                     if kind == "revisit":
                         length, digest, payload = int(fields.get("warc-payload-length", 0)), fields.get("warc-payload-digest", "").removeprefix("sha1:"), None
                     else:
                         length, digest = len(payload), base32(hashlib.sha1(payload).digest())
-                    rows.append((name, at, size, None, _page(fields.get("warc-page-id")), fields.get("warc-target-uri"), kind, _page(fields.get("warc-refers-to")), length, digest, payload))
+                    rows.append((name, at, size, None, _page(fields.get("warc-page-id")), json.loads(fields["warc-page-url"]) if "warc-page-url" in fields else fields.get("warc-target-uri"), kind, _page(fields.get("warc-refers-to")), length, digest, payload))
                     held += len(payload or b"")
                 if held > 8 << 20 or len(rows) >= 2000:
                     yield batch(rows)
@@ -176,21 +198,35 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     src = pick(pages, id_col, url_col, html_col).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
     same = src.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "last")
+    # stored, so that adaptive execution can split a payload that very many pages share
+    same = stored(same)
     refers = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     rows = src.join(same, "sha", "left").select("page_id", "url", "payload", refers.alias("refers_to"), "sha")
     return rows.mapInArrow(_write(target, level), "archive string, content binary")
 
 
 def records(archives: DataFrame) -> DataFrame:
-    """A row for each record of the archives, and one (gap not null) for each quarantined run of bytes."""
+    """A row for each record of the archives, and one (gap not null) for each quarantined run of bytes.
+
+    Null and empty contents have no records; archives that repeat are each read; an empty table gives none. Other columns are not read.
+    """
     return pick(archives, "archive", "content").mapInArrow(_read, RECORDS)
 
 
+def logged(found: DataFrame, path: str) -> DataFrame:
+    """records() without the gaps, which are written to `path` as JSON lines: archive, offset, size, gap. Lines are appended to what is there."""
+    found.where("gap is not null").select("archive", "offset", "size", "gap").coalesce(1).write.mode("append").json(path)
+    return found.where("gap is null").drop("gap")
+
+
 def from_files(spark: SparkSession, path: str) -> DataFrame:
-    """Archive files of any file system as rows for records()."""
+    """Archive files of any file system as rows for records(). A file is one value, read by one task, and so may have 2 GB at most
+    (Spark's limit; it fails beyond, and names the file)."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, these stored and read back, gaps logged beside them."""
     archives = stored(archived(table(spark, sf_dir, "pages")))
-    return records(archives).where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    found = stored(records(archives).drop("payload"))
+    return logged(found, scratch(spark)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

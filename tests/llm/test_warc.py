@@ -39,3 +39,25 @@ def test_salvage_recovers_later_records_and_logs_gaps():
         assert sum(x[1] for x in got) == len(whole)
     assert list(warc.salvage(b"")) == []
     assert [x[:2] for x in warc.salvage(b"nothing here")] == [(0, 12)]
+
+
+def test_urls_come_back_and_other_line_ends_are_read(spark):
+    urls = ["http://x/a%20b c", "http://x/a%2520", "http://x/\u00e9 \n%", None]
+    pages = spark.createDataFrame([(i, u, f"p{i}", 1) for i, u in enumerate(urls)], "page_id long, url string, html string, gap int")
+    got = {r.page_id: r.url for r in warc.records(warc.archived(pages)).collect()}
+    assert got == dict(enumerate(urls))
+    lf = b"WARC/1.0\nWARC-Type: response\nContent-Length: 5\n\nhello\n\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    assert [(g, bytes(b)) for _, _, g, _, b in warc.salvage(lf)] == [(None, b"hello"), (None, b"hi")]
+
+
+def test_gaps_are_logged_and_blocks_are_no_records(spark, tmp_path):
+    inner = warc.record(7, None, b"inner", None, warc.base32(b"0" * 20))
+    outer = bytearray(warc.record(1, None, inner + b"tail", None, warc.base32(b"0" * 20)))
+    outer[-8] ^= 1  # within the block, after the inner record
+    after = warc.record(2, None, b"after", None, warc.base32(b"0" * 20))
+    found = list(warc.salvage(bytes(outer) + after))
+    assert [(o, s, g is None) for o, s, g, _, _ in found] == [(0, len(outer), False), (len(outer), len(after), True)]
+    df = spark.createDataFrame([("a", bytes(outer) + after), ("b", None)], "archive string, content binary")
+    path = str(tmp_path / "gaps")
+    assert [r.page_id for r in warc.logged(warc.records(df), path).collect()] == [2]
+    assert [(r.archive, r.offset, r.size) for r in spark.read.json(path).collect()] == [("a", 0, len(outer))]
