@@ -3,23 +3,29 @@
 Patterns propose spans; labelers (checksums, gazetteers, context words, borders,
 shape) vote on each; expectation-maximisation over the counts of vote patterns
 estimates how reliable each labeler is; and a logistic span classifier is trained
-on the resulting posteriors. Every span that passes its kind's own check stays;
-the classifier adds spans of the weaker kinds.
+on the resulting posteriors, from the votes and from what no labeler looks at: the span's length, digits, variety of
+characters and what follows it. Every span of a base kind that passes its kind's own check stays, and those that fail it teach
+the labelers' reliabilities alone; the classifier adds spans of the weaker kinds.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick, stored, table
+from tessera.llm.common import fresh, pick, stored, table
 
 #: Kinds in order; the first four are the base kinds.
 KINDS = ["email", "ip", "card", "phone", "secret", "account"]
 BASE = 4
 LABELERS = ["check", "gazetteer", "context", "border", "shape"]
+#: The classifier's own features, each of a few values.
+OWN = {"length": 4, "digits": 4, "variety": 3, "follows": 4}
+#: Elements of an array that are accumulated one after another.
+BLOCK = 128
 
 # A match of one of these begins at the start of a run or where the last match
 # ended (\G), and loops are possessive; so they find what the plain patterns
@@ -59,22 +65,37 @@ SHAPE = {
     "account": r"^[0-9]{10,18}$",
 }
 SPAN = "array<struct<start:int,kord:int,stop:int,value:string>>"
-CANDIDATE = "array<struct<start:int,kord:int,stop:int,check:int,gazetteer:int,context:int,border:int,shape:int>>"
+CANDIDATE = "array<struct<start:int,kord:int,stop:int,check:int,gazetteer:int,context:int,border:int,shape:int,length:int,digits:int,variety:int,follows:int>>"
 
 
-def _found(text: Column, kind: str) -> Column:
-    """All matches with their code point offsets: what a split leaves between them gives the offsets."""
+def running(values: Column, step, zero: int) -> Column:
+    """step() over an array of ints from `zero` on, after each element; in blocks, so that its time grows with the array's length."""
+    none, z = F.array().cast("array<int>"), F.lit(zero)
+
+    def within(part: Column, begin: Column) -> Column:
+        return F.aggregate(part, F.struct(begin.alias("at"), none.alias("out")), lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(step(acc["at"], x))).alias("out")))["out"]
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))
+    part = lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK))
+    begins = F.concat(F.array(z), within(F.transform(blocks, lambda b: F.aggregate(part(b), z, lambda acc, x: step(acc, x))), z))
+    return F.when(F.size(values) <= BLOCK, within(values, z)).otherwise(F.flatten(F.transform(blocks, lambda b: within(part(b), F.get(begins, b)))))
+
+
+def _matched(text: Column, kind: str) -> tuple[Column, Column]:
+    """All matches, and the lengths of what a split leaves before each."""
     pattern = PATTERNS[kind]
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    begun = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), F.transform(hits, F.length).alias("size")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct((acc["at"] + x["gap"] + F.coalesce(x["size"], F.lit(0))).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts")),
-    )["starts"]
-    spans = F.zip_with(hits, F.slice(begun, 1, F.size(hits)), lambda v, s: F.struct(s.alias("start"), F.lit(KINDS.index(kind)).alias("kord"), (s + F.length(v)).alias("stop"), v.alias("value")))
     there = F.contains(text, F.lit(HINT[kind])) if HINT[kind] else text.rlike("[:=]{1}" if kind == "secret" else "[0-9]{1}")
-    return F.when(there, spans).otherwise(F.array().cast(SPAN))
+    hits = F.when(there, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    gaps = F.when(there, F.transform(F.split(text, pattern, -1), F.length)).otherwise(F.array().cast("array<int>"))
+    return hits, gaps
+
+
+def _found(hits: Column, gaps: Column, kind: str) -> Column:
+    """All matches with their code point offsets."""
+    sizes = F.transform(hits, F.length)
+    stops = running(F.zip_with(F.slice(gaps, 1, F.size(hits)), sizes, lambda g, n: g + n), lambda a, x: a + x, 0)
+    spans = F.zip_with(hits, stops, lambda v, e: F.struct((e - F.length(v)).alias("start"), F.lit(KINDS.index(kind)).alias("kord"), e.alias("stop"), v.alias("value")))
+    return F.when(F.size(hits) > 0, spans).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
 def _checked(kind: str, value: Column) -> Column:
@@ -94,18 +115,35 @@ def _voted(text: Column, kind: str, x: Column) -> Column:
     """The candidate x with its labelers' votes: 1, 0, or -1 for none."""
     value = x["value"]
     before = F.substring(text, F.greatest(x["start"] - 39, F.lit(1)), F.least(x["start"], F.lit(40)))
-    border = F.substring(text, x["start"], 1).rlike("[A-Za-z0-9_]") & (x["start"] > 0) | F.substring(text, x["stop"] + 1, 1).rlike("[A-Za-z0-9_]")
+    after = F.substring(text, x["stop"] + 1, 1)
+    digits, size = F.length(F.regexp_replace(value, "[^0-9]", "")), F.length(value)
+    distinct = F.size(F.array_distinct(F.split(F.substring(value, 1, 64), "")))
+    border = F.substring(text, x["start"], 1).rlike("[A-Za-z0-9_]") & (x["start"] > 0) | after.rlike("[A-Za-z0-9_]")
     vote = lambda c, no=0: F.when(c, 1).otherwise(no)
     return F.struct(
         x["start"].alias("start"), x["kord"].alias("kord"), x["stop"].alias("stop"),
-        vote(_checked(kind, value) if kind not in ("secret", "account") else F.lit(False), -1 if kind == "secret" else 0).alias("check"),
+        (vote(_checked(kind, value)) if kind in KINDS[:BASE] else F.lit(-1)).alias("check"),
         vote(value.rlike(GAZETTEER[kind])).alias("gazetteer"),
         vote(before.rlike(CONTEXT[kind]), -1).alias("context"),
         vote(~border).alias("border"),
         vote(value.rlike(SHAPE[kind])).alias("shape"),
+        F.when(size < 8, 0).when(size < 12, 1).when(size < 20, 2).otherwise(3).alias("length"),
+        F.when(digits == 0, 0).when(digits * 2 < size, 1).when(digits < size, 2).otherwise(3).alias("digits"),
+        F.when(distinct <= 4, 0).when(distinct <= 8, 1).otherwise(2).alias("variety"),
+        F.when(after.rlike("^[\n\r]?$"), 0).when(after == " ", 1).when(after.rlike("[\\p{Punct}]"), 2).otherwise(3).alias("follows"),
     )
 
 
+def _proposed(kind: str):
+    """What is a candidate at all: of cards and phones, runs of digits that have about as many; others as they match."""
+    count = lambda x: F.length(F.regexp_replace(x["value"], "[^0-9]", ""))
+    if kind == "card":
+        return lambda x: count(x).between(12, 19)
+    if kind == "phone":
+        return lambda x: count(x).between(6, 18)
+    return lambda x: F.lit(True)
+
+
 def _passes(kind: str):
     return lambda x: _checked(kind, x["value"])
 
@@ -115,14 +153,18 @@ def _votes(text: Column, kind: str):
 
 
 def candidates(docs: DataFrame, text_col: str = "text", into: str = "candidates") -> DataFrame:
-    """docs with a column of candidate spans and their votes."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    names = {k: f"{into}_{k}" for k in KINDS}
-    out = docs.withColumns({names[k]: F.filter(_found(text, k), _passes(k)) for k in KINDS})
-    base = F.concat(*[F.col(names[k]) for k in KINDS[:BASE]])
-    free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
+    """docs with a column of candidate spans, their labelers' votes and their features; of the weaker kinds those that no base span overlaps."""
+    text, old = F.coalesce(F.col(text_col), F.lit("")), docs.columns
+    hits, gaps, names = ({k: n for k, n in zip(KINDS, fresh(docs, *[f"{into}_{x}_{k}" for k in KINDS]), strict=True)} for x in "hgs")
+    both = {k: _matched(text, k) for k in KINDS}
+    out = docs.withColumns({hits[k]: both[k][0] for k in KINDS} | {gaps[k]: both[k][1] for k in KINDS})
+    out = out.withColumns({names[k]: F.filter(_found(F.col(hits[k]), F.col(gaps[k]), k), _proposed(k)) for k in KINDS})
+    base = F.concat(*[F.filter(F.col(names[k]), _passes(k)) for k in KINDS[:BASE]])
+    (passed,) = fresh(out, f"{into}_base")
+    out = out.withColumn(passed, base)
+    free = lambda x: ~F.exists(F.col(passed), lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
     every = [F.transform(F.col(names[k]) if k in KINDS[:BASE] else F.filter(F.col(names[k]), free), _votes(text, k)) for k in KINDS]
-    return out.withColumn(into, F.concat(*every).cast(CANDIDATE)).drop(*names.values())
+    return out.withColumn(into, F.concat(*every).cast(CANDIDATE)).select(*[c for c in old if c != into], into)
 
 
 def reliabilities(counts: dict[tuple, int], rounds: int = 40) -> tuple[dict, dict, dict]:
@@ -158,54 +200,67 @@ def reliabilities(counts: dict[tuple, int], rounds: int = 40) -> tuple[dict, dic
 
 
 def _features(p: tuple) -> list[float]:
-    return [1.0, *[float(v == 1) - float(v == 0) for v in p[1:]], *[float(p[0] == k) for k in range(len(KINDS))]]
+    """Of a pattern (kord, votes..., own features...; these may be left out)."""
+    votes, own = p[1 : 1 + len(LABELERS)], p[1 + len(LABELERS) :]
+    shape = [float(i < len(own) and own[i] == v) for i, n in enumerate(OWN.values()) for v in range(n)]
+    return [1.0, *[float(v == 1) - float(v == 0) for v in votes], *[float(p[0] == k) for k in range(len(KINDS))], *shape]
 
 
 def span_classifier(counts: dict[tuple, int], post: dict[tuple, float], steps: int = 300, rate: float = 1.0, l2: float = 1e-3) -> list[float]:
-    """Weights of a logistic regression on votes and kind, fitted to the posteriors."""
-    rows = [(_features(p), post[p], float(n)) for p, n in counts.items()]
-    total = sum(n for *_, n in rows) or 1.0
-    w = [0.0] * (1 + len(LABELERS) + len(KINDS))
+    """Weights of a logistic regression on votes, kind and own features, fitted to the posteriors of the votes."""
+    if not counts:
+        return [0.0] * len(_features((0,)))
+    x = np.array([_features(p) for p in counts])
+    y = np.array([post[p[: 1 + len(LABELERS)]] for p in counts])
+    share = np.array([float(n) for n in counts.values()])
+    share /= share.sum()
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
-        grad = [l2 * x for x in w]
-        for x, y, n in rows:
-            z = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(w, x, strict=True))))))
-            for i, a in enumerate(x):
-                if a:
-                    grad[i] += n / total * (z - y) * a
-        w = [a - rate * g for a, g in zip(w, grad, strict=True)]
-    return w
+        z = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= rate * (l2 * w + x.T @ (share * (z - y)))
+    return w.tolist()
 
 
-def classified(rows: DataFrame, at: str = "_pii", threshold: float = 0.5) -> DataFrame:
-    """rows of candidates() with `spans` in place of the candidates in column `at`.
+def classified(rows: DataFrame, at: str = "candidates", threshold: float = 0.5, into: str = "spans") -> DataFrame:
+    """rows of candidates() with spans in place of the candidates in column `at`.
 
     The labelers' reliabilities and the classifier come from all of the rows. These are read
     twice, so they should be a stored table.
     """
-    votes = rows.select(F.explode(at).alias("c")).groupBy("c.kord", *[f"c.{n}" for n in LABELERS]).count()
-    counts = {tuple(r[:-1]): r[-1] for r in votes.collect()}  # at most 6 * 3**5 rows
-    _, _, post = reliabilities(counts)
+    seen = rows.select(F.explode(at).alias("c")).groupBy("c.kord", *[f"c.{n}" for n in (*LABELERS, *OWN)]).count()
+    counts = {tuple(r[:-1]): r[-1] for r in seen.collect()}  # at most 6 * 3**5 * 192 rows, whatever the input
+    votes: dict[tuple, int] = {}
+    for p, n in counts.items():
+        votes[p[: 1 + len(LABELERS)]] = votes.get(p[: 1 + len(LABELERS)], 0) + n
+    _, _, post = reliabilities(votes)
     w = span_classifier(counts, post)
 
     def score(c: Column) -> Column:
-        logit = F.element_at(F.array(*[F.lit(w[0] + x) for x in w[1 + len(LABELERS) :]]), c["kord"] + 1)
-        for j, n in enumerate(LABELERS):
-            logit += F.when(c[n] == 1, w[1 + j]).when(c[n] == 0, -w[1 + j]).otherwise(0.0)
+        n = 1 + len(LABELERS)
+        logit = F.element_at(F.array(*[F.lit(w[0] + x) for x in w[n : n + len(KINDS)]]), c["kord"] + 1)
+        for j, name in enumerate(LABELERS):
+            logit += F.when(c[name] == 1, w[1 + j]).when(c[name] == 0, -w[1 + j]).otherwise(0.0)
+        n += len(KINDS)
+        for name, size in OWN.items():
+            logit += F.element_at(F.array(*[F.lit(x) for x in w[n : n + size]]), c[name] + 1)
+            n += size
         return 1 / (1 + F.exp(-logit))
 
-    scored = F.transform(at, lambda c: F.struct(c["start"].alias("start"), c["kord"].alias("kord"), c["stop"].alias("stop"), (c["kord"] < BASE).alias("base"), score(c).alias("score")))
-    return rows.withColumn("spans", F.array_sort(F.filter(scored, lambda c: c["base"] | (c["score"] >= threshold)))).drop(at)
+    stays = F.filter(at, lambda c: (c["kord"] >= BASE) | (c["check"] == 1))
+    scored = F.transform(stays, lambda c: F.struct(c["start"].alias("start"), c["kord"].alias("kord"), c["stop"].alias("stop"), (c["kord"] < BASE).alias("base"), score(c).alias("score")))
+    return rows.withColumn(into, F.array_sort(F.filter(scored, lambda c: c["base"] | (c["score"] >= threshold)))).drop(at)
 
 
-def spans(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with `spans`: array of (start, kord, stop, base, score), by start and then kind.
+def spans(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, into: str = "spans") -> DataFrame:
+    """docs with a column `into`: array of (start, kord, stop, base, score), by start and then kind.
 
     Offsets are code points, the end exclusive. Null and empty texts have no
-    spans; a table without candidates trains nothing. Texts are read whole, once.
-    The columns `spans` and `_pii` of docs itself, if there, are replaced.
+    spans; a table without candidates trains nothing, and an empty one stays empty. Texts are read whole, once, and long
+    ones take time in proportion. Equal texts, and so repeated rows, have equal spans. Other columns stay, but for one
+    that is named as `into` is.
     """
-    return classified(stored(candidates(docs, text_col, "_pii")), "_pii", threshold)
+    (at,) = fresh(docs, "candidates")
+    return classified(stored(candidates(docs, text_col, at)), at, threshold, into)
 
 
 def _joined(found: Column) -> Column:
@@ -214,28 +269,28 @@ def _joined(found: Column) -> Column:
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each span of personal data in their text replaced by its kind; null texts stay null."""
-    columns = docs.columns
-    kind = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    done = spans(docs, text_col)
-    # overlapping spans become one, named after the first
-    merged = F.aggregate(
-        "spans", F.array().cast("array<struct<start:int,stop:int,kord:int>>"),
-        lambda acc, c: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] > c["start"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], c["stop"]).alias("stop"), F.element_at(acc, -1)["kord"].alias("kord")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["kord"].alias("kord"))))),
-    )
-    text = F.col(text_col)
-    bits = F.transform("_merged", lambda c, i: F.concat(F.substring(text, F.when(i == 0, 1).otherwise(F.element_at("_merged", F.greatest(i, F.lit(1)))["stop"] + 1), c["start"] - F.when(i == 0, 0).otherwise(F.element_at("_merged", F.greatest(i, F.lit(1)))["stop"])), F.element_at(kind, c["kord"] + 1)))
-    new = F.when(F.size("spans") == 0, text).otherwise(F.concat(F.array_join(bits, ""), F.substring(text, F.element_at("_merged", -1)["stop"] + 1, F.length(text))))
-    return done.withColumn("_merged", merged).withColumn(text_col, new).select(*columns)
+    """docs with each span of personal data in their text replaced by its kind; null texts stay null, and all other columns as they are.
+
+    Overlapping spans become one, named after the first. Repeated rows stay; an empty table stays empty.
+    """
+    at = docs.columns.index(text_col)
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text, kind = F.col(f"c{at}"), F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    done = spans(own, f"c{at}")
+    done = done.withColumn("reach", running(F.transform("spans", lambda s: s["stop"]), F.greatest, 0))
+    first = F.filter("spans", lambda s, i: (i == 0) | (s["start"] >= F.get("reach", i - 1)))
+    last = F.filter("reach", lambda r, i: F.coalesce(F.get("spans", i + 1)["start"] >= r, F.lit(True)))
+    done = done.withColumns({"first": first, "last": last})
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get("last", i - 1))
+    bits = F.transform("first", lambda c, i: F.concat(F.substring(text, begin(i) + 1, c["start"] - begin(i)), F.element_at(kind, c["kord"] + 1)))
+    new = F.when(F.size("spans") == 0, text).otherwise(F.concat(F.array_join(bits, ""), F.substring(text, F.element_at("last", -1) + 1, F.length(text))))
+    return done.withColumn(f"c{at}", new).select(*own.columns).toDF(*docs.columns)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spans() of all documents as digests; the texts themselves are not stored."""
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
-    scan = docs.select("doc_id", F.col("text"))
-    found = stored(candidates(scan, "text", "_pii").select("doc_id", "_pii"))
-    return digests(classified(found, "_pii"))
+    return digests(classified(stored(candidates(docs).select("doc_id", "candidates"))))
 
 
 def digests(found: DataFrame) -> DataFrame:

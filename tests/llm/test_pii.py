@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+from itertools import accumulate
+
+from pyspark.sql import functions as F
 
 from tessera.llm import pii
 
@@ -69,3 +72,31 @@ def test_secrets_need_no_digit_elsewhere(spark):
     rows = [(0, "password: hunterabc"), (1, "token=abcdefgh here"), (2, "password: hunterabc 7"), (3, "no password here")]
     got = {r.doc_id: [(c.start, c.stop) for c in r.candidates] for r in pii.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: [(0, 19)], 1: [(0, 14)], 2: [(0, 19)], 3: []}
+
+
+def test_running_values_over_blocks(spark):
+    r = random.Random(1)
+    rows = [(i, [r.randint(0, 9) for _ in range(n)]) for i, n in enumerate([0, 1, 127, 128, 129, 256, 1000])]
+    df = spark.createDataFrame(rows, "i int, x array<int>")
+    got = df.select("i", pii.running(F.col("x"), lambda a, b: a + b, 0).alias("s"), pii.running(F.col("x"), F.greatest, 0).alias("m")).collect()
+    for i, s, m in got:
+        assert s == list(accumulate(rows[i][1])) and m == list(accumulate(rows[i][1], max))
+
+
+def test_redaction_of_many_spans_and_of_clashing_columns(spark):
+    many = "a1@b.co, " * 700 + "password=a@b.cold9 x"
+    df = spark.createDataFrame([(1, many, "mine", 2), (1, many, "mine", 2)], "doc_id long, text string, spans string, first int")
+    got = pii.redacted(df).collect()
+    assert len(got) == 2 and got[0].spans == "mine" and got[0].first == 2
+    assert got[0].text.startswith("[EMAIL], " * 700) and "@" not in got[0].text
+
+
+def test_own_features_reach_the_classifier():
+    counts = {(4, -1, 1, 1, 1, 1, 2, 1, 2, 1): 500, (4, -1, 0, 0, 0, 0, 0, 0, 0, 0): 500, (4, -1, 1, -1, 0, 1, 2, 1, 2, 1): 20, (4, -1, 1, -1, 0, 1, 0, 0, 0, 0): 20}
+    votes = {}
+    for p, n in counts.items():
+        votes[p[:6]] = votes.get(p[:6], 0) + n
+    _, _, post = pii.reliabilities(votes)
+    w = pii.span_classifier(counts, post)
+    z = lambda p: sum(a * b for a, b in zip(w, pii._features(p), strict=True))
+    assert z((4, -1, 1, -1, 0, 1, 2, 1, 2, 1)) > z((4, -1, 1, -1, 0, 1, 0, 0, 0, 0))
