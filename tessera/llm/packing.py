@@ -20,22 +20,30 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 _STATE: dict = {}
 
 
-def tokenizer(ranks: str, pattern: str):
+def tokenizer(ranks: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
     """A function from text to its ids (little-endian unsigned 32-bit), made once in each worker.
 
     Ranks and pattern give the ids of the byte-level BPE that they were taken from, in a third
-    of its time.
+    of its time. `added` are tokens that stand in texts as they are, with their ids.
     """
-    if (ranks, pattern) not in _STATE:
+    if (ranks, pattern, added) not in _STATE:
         import base64
 
         import tiktoken
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_to_numpy
-        _STATE[ranks, pattern] = lambda text: encode(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
-    return _STATE[ranks, pattern]
+        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=dict(added)).encode_to_numpy
+        _STATE[ranks, pattern, added] = lambda text: encode(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False).tobytes()
+    return _STATE[ranks, pattern, added]
+
+
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """The tokens that a tokenizer's JSON file adds to its vocabulary, and their ids."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        return tuple((t["content"], t["id"]) for t in json.load(f)["added_tokens"])
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
@@ -96,9 +104,12 @@ def filled(bins: list[list[list[int]]], capacity: int) -> list[list[list[int]]]:
     return done
 
 
-def _tokenized(ranks: str, pattern: str, capacity: int, end_id: int, groups: int):
+def _tokenized(ranks: str, pattern: str, added: tuple, capacity: int, end_id: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end, step, n = tokenizer(ranks, pattern), int(end_id).to_bytes(4, "little"), 4 * capacity, 0
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        ids, end, step, n = tokenizer(ranks, pattern, added), int(end_id).to_bytes(4, "little"), 4 * capacity, 0
         names = ["doc_id", "start", "length", "doc_tokens", "ids", "grp"]
 
         def batch(rows):
@@ -110,7 +121,7 @@ def _tokenized(ranks: str, pattern: str, capacity: int, end_id: int, groups: int
             n += 1
             for at in range(0, len(data), step):
                 part = data[at : at + step]
-                rows.append((d, at // 4, len(part) // 4, len(data) // 4, part, zlib.crc32(f"{n if d is None else d} {at} {zlib.crc32(part)}".encode()) % groups))
+                rows.append((d, at // 4, len(part) // 4, len(data) // 4, part, zlib.crc32(f"{d} {at} {zlib.crc32(part)} {n} {task}".encode()) % groups))
                 held += len(part)
                 if held > 8 << 20:
                     yield batch(rows)
@@ -144,24 +155,26 @@ def _packed(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, ranks: str | None = None, pattern: str | None = None, group_mb: int = 12) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, ranks: str | None = None, pattern: str | None = None, added: tuple[tuple[str, int], ...] = (), group_mb: int = 12) -> DataFrame:
     """Pieces of documents in sequences of at most `capacity` tokens: a row a piece, with its ids.
 
     A document is its text's ids and then `end_id`. Documents are cut at every
     `capacity` ids; the remainders, dealt at random into groups of about
     `group_mb` MB of text, are packed in each by first-fit decreasing.
-    Null or empty text: the end id alone. Repeated rows: each is packed. Null
-    ids are kept. An empty table gives no pieces. Long texts are dealt piece by
-    piece. Other columns are not read.
+    Null or empty text: the end id alone. Repeated rows: each is packed, and they are dealt into different
+    groups. Null ids are kept. An empty table gives no pieces. Long texts are dealt piece by
+    piece. Other columns are not read. `added` tokens in a text have their own ids; without `ranks` the public
+    50,000 vocabulary and what its JSON file adds are taken.
     """
     if ranks is None:
         import public_tokenizers
 
         ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+        added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
     src = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = 1 + total // (group_mb << 20)
-    cut = src.mapInArrow(_tokenized(ranks, pattern, capacity, end_id, groups), "doc_id long, start long, length long, doc_tokens long, ids binary, grp long")
+    cut = src.mapInArrow(_tokenized(ranks, pattern, added, capacity, end_id, groups), "doc_id long, start long, length long, doc_tokens long, ids binary, grp long")
     return cut.groupBy("grp").applyInArrow(_packed(capacity), PIECES)
 
 

@@ -26,6 +26,19 @@ def test_word_ids_equal_the_tokenizers(tok):
     same()
 
 
+def test_added_tokens_keep_their_ids(tok):
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "end", "'s", "é"]), max_size=12).map("".join))
+    def same(text):
+        assert np.frombuffer(ids(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+    same()
+    assert np.frombuffer(ids("end <|endoftext|> go"), "<u4").tolist() == [437, 220, 50256, 467]
+
+
 @given(st.lists(st.integers(1, 20), max_size=60))
 def test_first_fit_decreasing_equals_a_plain_scan(lengths):
     free, want = [20] * (len(lengths) + 1), [0] * len(lengths)
