@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick, stored, table
+from tessera.llm.common import keyed, pick, stored, table
 from tessera.llm.shingles import mixed, word_hashes
 
 BITS = 18
@@ -326,15 +326,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     word stands). IDF counts all documents' passages; items are dealt into blocks of at most `rank` passages, each with a basis that
     spans them; every passage of every document is searched against every block, its length
     taken in the whole space. Blocks go to every task, about 64 MB of them at a time, and each
-    such part reads the documents again. The number of items is checked against `most_items`, and
-    larger benchmarks should be given in parts. Null and empty texts and items
-    hold nothing. Repeated rows each count.
+    such part reads the documents again; so does each part of `most_items` items, into which larger benchmarks are dealt. Null and empty texts and items
+    hold nothing, and long texts are searched a few at a time. Repeated rows each count; items of equal texts are each found. An empty table gives no rows,
+    and other columns are not read.
     """
-    spark = docs.sparkSession
     src = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_hash"), "text")
-    items = pick(benchmark, item_col, "text").toDF("item", "text").where("item is not null and text is not null").orderBy("item").limit(most_items + 1).collect()
-    if len(items) > most_items:
-        raise ValueError(f"there are more than {most_items} items; give the benchmark in parts")
+    items = pick(benchmark, item_col, "text").toDF("item", "text").where("item is not null and text is not null")
+    parts = 1 + items.count() // most_items
+    if parts == 1:
+        return _leaks(src, items, rank, size, cosine, common, answer_words, answer)
+    dealt = [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == i) for i in range(parts)]
+    return reduce(DataFrame.unionByName, [_leaks(src, part, rank, size, cosine, common, answer_words, answer) for part in dealt])
+
+
+def _leaks(src: DataFrame, items: DataFrame, rank: int, size: int, cosine: float, common: float, answer_words: int, answer: float) -> DataFrame:
+    spark = src.sparkSession
+    items = items.orderBy("item", "text").collect()  # about most_items
     words = [word_hashes(r.text.encode("utf-8", "surrogatepass")) for r in items]
     kept = [i for i, w in enumerate(words) if len(w)]
     if not kept:
@@ -366,11 +373,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that hold an item; a row is known by its id and text."""
-    bad = stored(leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).distinct())
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left_anti")
+    """docs without those that hold an item; a row is known by its id and text, so repeated rows stay or go together.
+
+    Rows with null texts stay. Columns may have any names; an empty table stays empty, and without items all rows stay.
+    """
+    own, _, text = keyed(docs, id_col, text_col)
+    own = own.withColumn("row_hash", F.xxhash64(text))
+    found = leaks(own.select(F.col("row_id").alias("doc_id"), F.col(text).alias("text")), benchmark, **options)
+    bad = stored(found.select(F.col("doc_id").alias("bad_id"), F.col("row_hash").alias("bad_hash")).distinct())
+    left = own.join(bad, own["row_id"].eqNullSafe(bad["bad_id"]) & (own["row_hash"] == bad["bad_hash"]), "left_anti")
+    return left.drop("row_id", "row_hash").toDF(*docs.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """leaks() of the benchmark in all documents."""
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"), F.round("common", 4).alias("lcs_share"), F.round("answer", 4).alias("answer_share"), "first_word")

@@ -78,3 +78,50 @@ def test_components_equal_brute_force(spark):
     kept = jaccard.one_of_each(docs, words=4, share=85)
     assert kept.columns == docs.columns and {k.doc_id for k in kept.collect()} == {c for _, _, c in want} | {None}
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_adjacent_pairs_meet_in_sets_of_any_size():
+    """All shingles frequent, so that every key is a combination."""
+    r = np.random.default_rng(4)
+    pool = r.integers(0, 1 << 63, 5000).astype(np.uint64)
+    classes = np.full(jaccard.CELLS, 5, np.uint8)
+    tried = 0
+    for size in (2, 3, 5, 9, 40, 300, 1500):
+        for share in (70, 80, 85, 95):
+            for _ in range(15):
+                a = np.unique(r.choice(pool, size, replace=False))
+                off = int(r.integers(0, 1 + size * (100 - share) // 100))
+                b = np.unique(np.concatenate([r.choice(a, len(a) - off, replace=False), r.choice(pool, int(r.integers(0, 1 + off)))]))
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= share * len(np.union1d(a, b)):
+                    tried += 1
+                    ka, kb = (jaccard.index_keys(x, classes, share)[0] for x in (a, b))
+                    assert len(np.intersect1d(ka, kb)), (size, share)
+                    assert len(ka) <= 3 * len(a)
+                    x, y = jaccard.bit_map(a), jaccard.bit_map(b)
+                    assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(a) + len(b) - 2 * both
+    assert tried > 150
+
+
+def test_a_passage_in_many_unlinked_long_documents_makes_no_pairs(spark):
+    r = random.Random(6)
+    some = lambda n: [f"w{r.randrange(50_000)}" for _ in range(n)]
+    passage = some(120)
+    rows = [(i, " ".join(some(150) + passage + some(150))) for i in range(300)]
+    near = rows[0][1].split()
+    near[5] = "changed"
+    rows += [(300, " ".join(near)), (301, " ".join(passage)), (302, " ".join(passage[:-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {g.doc_id: g.component_id for g in jaccard.near_duplicates(docs).collect()}
+    assert got == {i: i for i in range(303)} | {300: 0, 302: 301}
+
+
+def test_one_of_each_goes_by_row(spark):
+    t, u = " ".join(f"t{i}" for i in range(50)), " ".join(f"u{i}" for i in range(50))
+    rows = [(1, t, "a"), (5, t, "b"), (5, u, "c"), (7, u, "d"), (7, u, "e"), (9, "", "f"), (9, "", "g"), (4, t + " end", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
+    kept = sorted((k.doc_id, k.text, k._gone) for k in jaccard.one_of_each(docs).collect())
+    assert kept == [(1, t, "a"), (5, u, "c"), (9, "", "f"), (9, "", "g")]
+    twice = spark.createDataFrame([(3, t, "x"), (3, t, "y")], "row_id long, text string, row_hash string")
+    assert jaccard.one_of_each(twice, id_col="row_id").count() == 1
+    assert jaccard.one_of_each(docs.limit(0)).count() == 0
