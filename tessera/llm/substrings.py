@@ -259,11 +259,11 @@ def _refined(length: int):
 
 
 def _cut(length: int):
-    names = ["node", "n_bytes", "removed", "kept"]
+    names = ["node", "n_bytes", "removed", "kept", "near"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for node, text, copies, runs in zip(b.column(0), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for node, text, copies, runs, near in zip(b.column(0), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 spans = [(0, len(raw))] if copies > 1 and len(raw) >= length else sorted((r["first"], r["last"] + length) for r in runs or ())
                 merged: list[list[int]] = []
@@ -277,13 +277,13 @@ def _cut(length: int):
                     kept.append(raw[at:s])
                     at = e
                 kept.append(raw[at:])
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.binary()), pa.array([len(raw)], pa.int64()), pa.array([[{"start": s, "stop": e} for s, e in merged]], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([b"".join(kept)], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.binary()), pa.array([len(raw)], pa.int64()), pa.array([[{"start": s, "stop": e} for s, e in merged]], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([b"".join(kept)], pa.binary()), pa.array([near], pa.int64())], names=names)
 
     return run
 
 
 def _removal(docs: DataFrame, id_col: str, text_col: str, length: int, run_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of each document, and (node, n_bytes, removed, kept) of each distinct text."""
+    """(doc_id, node) of each document, and (key, n_bytes, removed, kept_sha256, near) of each distinct text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("node"), text.alias("text"))
     spark, kept, once = docs.sparkSession, [], []
@@ -303,42 +303,46 @@ def _removal(docs: DataFrame, id_col: str, text_col: str, length: int, run_rows:
     places = near.groupBy("node").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("spots"))
     group = stored(texts.select("node", "text").join(places, "node").mapInArrow(_contexts(length), CONTEXT), kept)
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = [rows.where("whole_").select("node", F.col("lo").alias("first"), F.col("hi").alias("last"))]
+    hint = lambda df, n: df.withColumn("hint", F.lit(n))
+    found = [hint(rows.where("whole_").select("node", F.col("lo").alias("first"), F.col("hi").alias("last")), 1)]
+    found.append(hint(group.select("node", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")), 1))
     while True:
         hot = stored(group.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > run_rows).select("key"), kept)
         some = bool(hot.limit(1).count())
         buckets = (group.join(hot, "key", "left_anti") if some else group).select(*[x.split()[0] for x in CONTEXT.split(", ")])
-        found.append(stored(buckets.repartitionByRange(partitions, "key").sortWithinPartitions("key").mapInArrow(_settled(length), RUNS), kept))
+        found.append(hint(stored(buckets.repartitionByRange(partitions, "key").sortWithinPartitions("key").mapInArrow(_settled(length), RUNS), kept), 0))
         if not some:
             break
         many = group.join(hot, "key")
         leaders = stored(many.groupBy("key").agg(F.min(F.struct("node", "lo", "hi", "at", "around")).alias("leader")), kept)
         parts = stored(many.join(leaders, "key").select(*buckets.columns, "leader").mapInArrow(_refined(length), f"{CONTEXT}, first int, last int"), kept)
-        found.append(parts.where("first is not null").select("node", "first", "last"))
+        found.append(hint(parts.where("first is not null").select("node", "first", "last"), 0))
         group = parts.where("first is null").drop("first", "last")
-    runs = reduce(DataFrame.unionByName, found).groupBy("node").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    results = stored(texts.join(runs, "node", "left").select("node", "text", "copies", "runs").mapInArrow(_cut(length), "node binary, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary"))
+    runs = reduce(DataFrame.unionByName, found).groupBy("node").agg(F.collect_set(F.when(F.col("first").isNotNull(), F.struct("first", "last"))).alias("runs"), F.sum("hint").alias("near"))
+    results = texts.join(runs, "node", "left").select("node", "text", "copies", "runs", F.coalesce("near", F.lit(0)).cast("long").alias("near"))
+    results = results.mapInArrow(_cut(length), "node binary, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary, near long")
+    results = stored(results.select(F.col("node").alias("key"), "n_bytes", "removed", F.sha2("kept", 256).alias("kept_sha256"), "near"))
     dropped(spark, kept)
     return documents, results
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, run_rows: int = 20_000) -> DataFrame:
-    """A row for each document: doc_id, n_bytes, removed (array of start, stop in UTF-8 bytes), kept_sha256.
+    """A row for each document: doc_id, n_bytes, removed (array of start, stop in UTF-8 bytes), kept_sha256, near.
 
     A byte is removed if a `length`-byte string that covers it also starts anywhere
     else, in the same document or another. Null text: empty. Documents with equal
     texts repeat each other whole, if long enough. Rows with null or equal ids are
     kept, and repeated rows are documents like others. An empty table gives no rows. Other columns are not read. Long
     texts are held a few at a time. Anchors are told apart by 64-bit hashes, windows by their bytes. A group of suffixes that agree in
-    their leads is sorted in one task up to `run_rows` of them, and split beyond.
+    their leads is sorted in one task up to `run_rows` of them, and split beyond. `near` counts the anchors around which so many bytes as
+    an anchor and half of the rest of a window make (264 of 400) stand elsewhere as well, so that it is above 0 for most shorter repeats, too.
     """
     documents, results = _removal(docs, id_col, text_col, length, run_rows)
-    results = results.select(F.col("node").alias("key"), "n_bytes", "removed", F.sha2("kept", 256).alias("kept_sha256"))
-    return documents.join(results, F.col("node") == F.col("key")).select("doc_id", "n_bytes", "removed", "kept_sha256")
+    return documents.join(results, F.col("node") == F.col("key")).select("doc_id", "n_bytes", "removed", "kept_sha256", "near")
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.col("removed")
     return repeated_bytes(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", F.aggregate(removed, F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]).alias("n_removed"), F.size(removed).cast("long").alias("n_spans"), "kept_sha256"
+        "doc_id", "n_bytes", F.aggregate(removed, F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]).alias("n_removed"), F.size(removed).cast("long").alias("n_spans"), "kept_sha256", F.col("near").alias("n_near")
     )
