@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import dropped, stored
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, keep: list[str] | None = None) -> DataFrame:
     """(node, root) for each node of edges (a, b): root is the least node that links reach.
 
     Each round every node takes the least root among its neighbours' and its own, and
@@ -17,7 +17,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     paths: list[str] = []
-    both = stored(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), [])
+    base: list[str] = []
+    both = stored(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), base)
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), paths)
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
@@ -30,5 +31,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         dropped(spark, paths)
         paths = new
         if not moved:
+            dropped(spark, base)
+            if keep is not None:
+                keep += paths
             return labels
     raise RuntimeError(f"components are not settled after {rounds} rounds")

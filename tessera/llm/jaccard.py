@@ -196,7 +196,8 @@ def _grouped(src: DataFrame, words: int, share: int) -> DataFrame:
     """(doc_id, row_hash, n, label) of each row of src (doc_id, row_hash, text): label names the component, null for an empty set."""
     spark = src.sparkSession
     once: list[str] = []
-    profile = stored(src.mapInArrow(_profile(words), "doc_id long, row_hash binary, node binary, n int, slot int, part binary"))
+    kept: list[str] = []
+    profile = stored(src.mapInArrow(_profile(words), "doc_id long, row_hash binary, node binary, n int, slot int, part binary"), kept)
     kind = "slot int, part binary"
     parts = profile.where("slot is not null").select("slot", "part").repartition(SLOTS, "slot").mapInArrow(_added, kind).collect()
     counts = np.zeros(CELLS, np.uint16)
@@ -211,7 +212,6 @@ def _grouped(src: DataFrame, words: int, share: int) -> DataFrame:
     met = stored(keys.groupBy("key").agg(F.min(F.xxhash64("node")).alias("lo"), F.max(F.xxhash64("node")).alias("hi")).where("lo <> hi").select("key"), once)
     shared_keys = keys.join(met.hint("shuffle_hash"), "key").repartition("node").groupBy("key", "node").agg(F.min("pos").alias("pos"))
     sizes = every.where("key is null").select("node", "n", "map").dropDuplicates(["node"])
-    kept: list[str] = []
     rows = stored(shared_keys.join(sizes, "node").select("key", *names), kept)
     wanted = rows.select("node").distinct()
     chosen = stored(documents.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("row")).select("node", "row.*"), kept)
@@ -233,7 +233,7 @@ def _grouped(src: DataFrame, words: int, share: int) -> DataFrame:
     first = stored(rows.groupBy("key").agg(F.array_distinct(F.array(*firsts)).alias("f")).select("key", F.explode("f").alias("f")).select("key", "f.*"), kept)
     tried = stored(candidates(rows, first, F.col("anode") != F.col("node")), kept)
     links = stored(linked(tried), kept)
-    root = stored(components(links), kept)
+    root = components(links, keep=kept)
     # where components still meet, those outside the key's largest one against all of other components
     own = stored(rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), kept)
     main = stored(own.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main"), kept)
@@ -242,7 +242,7 @@ def _grouped(src: DataFrame, words: int, share: int) -> DataFrame:
     rest = candidates(own, own.where("root <> main").drop("main"), apart).join(tried, ["a", "b"], "left_anti")
     more = stored(linked(stored(rest, kept)), kept)
     bridges = more.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    top = components(bridges)
+    top = components(bridges, keep=kept)
     first_label = documents.join(root, "node", "left").select("doc_id", "row_hash", "n", F.coalesce("root", "node").alias("node"))
     out = stored(first_label.join(top, "node", "left").select("doc_id", "row_hash", "n", F.coalesce("root", "node").alias("label")))
     dropped(spark, kept)
@@ -291,3 +291,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near_duplicates() of all documents, with four words and a share of 85."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, share=85)
+
+
+#: op2_jaccard in DuckDB's SQL, by all pairs of documents that share a shingle.
+SQL = r"""with recursive w as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as materialized (select doc_id, case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')] else list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' '))) end as sh from w),
+u as materialized (select doc_id, len(sh) as n, unnest(sh) as x from s),
+e as materialized (select a.doc_id as a, b.doc_id as b from u a join u b on a.x = b.x and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r(doc_id, label) as (select doc_id, doc_id from s union select case when e.a = r.doc_id then e.b else e.a end, r.label from r join e on r.doc_id in (e.a, e.b))
+select s.doc_id, cast(len(s.sh) as bigint) as n_shingles, min(r.label) as component_id from s join r using (doc_id) group by s.doc_id, len(s.sh)"""
