@@ -27,7 +27,9 @@ STEM = range(4, 9)
 #: What opens a quotation or a report, and what addresses the reader, within a window.
 REPORT = frozenset("said says say wrote called quoted quote word term sagte schrieb nannte wort dijo escribió llamó palabra dit écrit appelé mot".split())
 ADDRESS = frozenset("you your youre u du dich dein ihr euch tú tu usted te vous toi votre".split())
-QUOTES = "\"“”„«»‘’'"
+QUOTES = "\"“”„«»"
+#: Single marks count where no apostrophe stands: before a word and after one.
+OPENS, CLOSES = re.compile(r"(?<!\w)['‘’‚](?=\w)"), re.compile(r"(?<=\w)['’‘](?!\w)")
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 FEATURES = 6
 
@@ -134,7 +136,7 @@ def features(text: str, lexicon: Lexicon, window: int = 6) -> list[float]:
             odds = lexicon.terms[got[0]]
             before, after = low[max(0, m.start() - 12 * window) : m.start()], low[m.end() : m.end() + 12 * window]
             near = set(WORD.findall(before)[-window:] + WORD.findall(after)[:window])
-            within = any(q in before[-24:] for q in QUOTES) and any(q in after[:24] for q in QUOTES)
+            within = any(q in before[-24:] for q in QUOTES) and any(q in after[:24] for q in QUOTES) or bool(OPENS.search(low, max(0, m.start() - 24), m.start() + 1) and CLOSES.search(low, m.end() - 1, m.end() + 24))
             if within and near & REPORT:
                 quoted = max(quoted, odds)
                 continue
@@ -195,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     A term must tell the labels apart beyond what as many terms would by chance
     (a likelihood ratio of 2 ln(terms) + 8). Without labels of both kinds the
-    lexicon is empty and the score the smoothed share of toxic labels.
+    lexicon is empty and the score the smoothed share of toxic labels. The lexicon holds the `most_terms` strongest terms
+    that pass. Null texts count as empty; rows of an id that labels contradict count as toxic; other columns are not read.
     """
     marks = pick(labels, id_col, "toxic").toDF("id", "toxic").where("id is not null and toxic is not null").select("id", F.col("toxic").cast("int").alias("toxic")).groupBy("id").agg(F.max("toxic").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("id"), "id").limit(most_rows)
@@ -221,7 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         covered = any(t.endswith("*") and stem.startswith(t[:-1]) for t in terms)
         # a beginning that adds little to the longer terms found before it is too wide
         wide = r.term.endswith("*") and any(t.startswith(stem) and found[t] >= 0.8 * r.a for t in terms)
-        if not covered and not wide and len(terms) < most_terms:
+        # a whole word stays although a beginning covers it: its misspellings are caught by it alone
+        if (not covered or not r.term.endswith("*")) and not wide and len(terms) < most_terms:
             terms[r.term], found[r.term] = odds(r), r.a
     rows = sample.mapInArrow(_vectors(terms), "x array<double>, toxic int").collect()  # at most most_rows of 6 numbers
     x, y = np.array([r.x for r in rows]), np.array([float(r.toxic) for r in rows])
@@ -241,9 +245,9 @@ def _scores(shared):
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each of docs with the score of its whole text; null and empty texts get that of no match.
+    """A row for each of docs with the score of its whole text; null and empty texts get that of no match, and null ids stay.
 
-    The model is broadcast; `most_terms` bounds it. Equal texts get equal scores. Other columns are not read.
+    An empty table gives no rows; repeated rows each have one; long texts are read whole, word by word. The model is broadcast; `most_terms` bounds it. Equal texts get equal scores. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
@@ -251,7 +255,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def accepted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs without those that score at least `threshold`."""
+    """docs without those that score at least `threshold`; columns of any names stay as they are, repeated rows stay or go together,
+    and null and empty texts are judged as texts without a match."""
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     at = names.index(text_col)
 
