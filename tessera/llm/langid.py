@@ -51,9 +51,13 @@ def grams(text: str) -> tuple[np.ndarray, bool]:
 
 
 def _blocks(text: str) -> Iterator[str]:
-    """The text in parts that meet in one character, so that little is held at once."""
-    for at in range(0, max(1, len(text)), BLOCK):
-        yield text[at : at + BLOCK]
+    """The text in parts of about BLOCK characters, so that little is held at once; a part ends at a space if there is one in its second half."""
+    at = 0
+    while at == 0 or at < len(text):
+        end = at + BLOCK
+        cut = text.rfind(" ", at + BLOCK // 2, end) if end < len(text) else -1
+        yield text[at : cut if cut > 0 else end]
+        at = cut + 1 if cut > 0 else end
 
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -202,7 +206,7 @@ def temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1500, shards: int = 8, epochs: int = 3) -> Model:
-    """A model of the languages in docs. IDF is over all rows; weights are trained on about `per_language` rows of each language, chosen by a hash of their ids, of which a fifth calibrates."""
+    """A model of the languages in docs. IDF is over all rows; weights are trained on about `per_language` rows of each language, chosen by a hash of their ids, of which a fifth calibrates. Rows with null text or language teach nothing; without any the model predicts `und`. Other columns are not read."""
     src = pick(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").where("lang is not null and text is not null")
     counts = {r.lang: r.n for r in src.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     classes = sorted(counts)
@@ -245,7 +249,8 @@ def _predicted(shared):
 
 
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each of docs, its whole text scored. Null texts and those without a letter: `und` with score 0.
+    """A row for each of docs, its whole text scored, long ones in parts. Null texts and those without a letter: `und` with score 0.
+    Ties go to the language that comes first in order; an empty table gives no rows, and repeated rows each have one.
 
     The model is broadcast; its size is fixed by SIZE and the number of languages.
     Rows with equal texts get equal predictions; other columns are not read.
