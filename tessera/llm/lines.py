@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick, stored, table
+from tessera.llm.common import keyed, pick, stored, table
 
 _SENTENCE = re.compile(r"\S(?:.*?[.!?…](?=\s)|.*)", re.S)
 UNITS = "doc_id long, text_hash long, start int, stop int, digest binary"
@@ -99,8 +99,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     every = stored(src.mapInArrow(_units(line_words, sentence_words), UNITS))
     real = every.where("digest is not null")
     rank = F.struct("doc_id", "text_hash", "start")
-    first = real.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    # most units occur once, so the join keeps few; a frequent digest's rows are dealt anew by adaptive execution
+    # most units occur once, so the join keeps few; stored, so that adaptive execution can split a frequent digest
+    first = stored(real.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
     later = real.join(first, "digest").where(rank != F.col("first")).select("doc_id", "text_hash", "start", "stop")
     sizes = every.groupBy("doc_id", "text_hash").agg(F.count_if(F.col("start") < 0).alias("rows"), F.count_if(F.col("start") >= 0).alias("units"))
     spans = later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")).toDF("id", "hash", "spans")
@@ -114,14 +114,17 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the repeated units cut out of their texts."""
-    found = repeated(docs, id_col, text_col, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("removed").alias("_removed")).dropDuplicates(["_id", "_hash"])
-    text = F.col(text_col)
-    starts = F.concat(F.array(F.lit(0)), F.transform("_removed", lambda s: s["stop"]))
-    stops = F.concat(F.transform("_removed", lambda s: s["start"]), F.array(F.length(text)))
-    kept = F.array_join(F.zip_with(starts, stops, lambda a, b: F.substring(text, a + 1, b - a)), "")
-    joined = docs.join(found, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    return joined.withColumn(text_col, F.when(F.size("_removed") > 0, kept).otherwise(text)).select(*docs.columns)
+    """docs with the repeated units cut out of their texts; all rows stay, null texts stay null, and columns may have any names."""
+    own, _, text = keyed(docs, id_col, text_col)
+    own = own.withColumn("row_hash", F.xxhash64(text))
+    found = repeated(own.select(F.col("row_id").alias("doc_id"), F.col(text).alias("text")), **options)
+    found = found.select(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash"), "removed").dropDuplicates(["cut_id", "cut_hash"])
+    whole = F.col(text)
+    starts = F.concat(F.array(F.lit(0)), F.transform("removed", lambda s: s["stop"]))
+    stops = F.concat(F.transform("removed", lambda s: s["start"]), F.array(F.length(whole)))
+    kept = F.array_join(F.zip_with(starts, stops, lambda a, b: F.substring(whole, a + 1, b - a)), "")
+    joined = own.join(found, own["row_id"].eqNullSafe(found["cut_id"]) & (own["row_hash"] == found["cut_hash"]), "left")
+    return joined.withColumn(text, F.when(F.size("removed") > 0, kept).otherwise(whole)).drop("row_id", "row_hash", "cut_id", "cut_hash", "removed").toDF(*docs.columns)
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,3 +40,32 @@ def test_passages_of_short_sentences_go_between_different_neighbours(spark):
         clean = {c.doc_id: c.text for c in lines.cleaned(docs).collect()}
         assert clean[0] == rows[0][1]
         assert all(clean[i].split() == f"{a} {b} {c}".split() for i, (a, b, c) in enumerate(around) if i)
+
+
+def test_cleaned_texts_repeat_no_line_and_lose_nothing_unique(spark):
+    """Against plain text handling that shares nothing with the operator."""
+    r = random.Random(4)
+    shared = ["Terms of use apply here.", "one two three four five six seven eight nine", "a b", "UPPER  case line   here"]
+    rows = []
+    for i in range(40):
+        own = [f"only document {i} has line {j} of these." for j in range(3)]
+        parts = own + [r.choice(shared) for _ in range(3)]
+        r.shuffle(parts)
+        rows.append((i, "\n".join(parts), "x"))
+    docs = spark.createDataFrame([*rows, (100, None, "x"), (101, "", "x"), (5, rows[5][1], "x")], "doc_id long, text string, _id string").repartition(3)
+    out = lines.cleaned(docs)
+    assert out.columns == docs.columns and out.count() == 43
+    got = {x.doc_id: x.text for x in out.collect()}
+    norm = lambda line: " ".join(line.lower().split())
+    seen = {}
+    for i in range(40):
+        for line in got[i].split("\n"):
+            if len(line.split()) >= 3:
+                assert seen.setdefault(norm(line), i) == i and line in rows[i][1]
+    first = {}
+    for i, text, _ in rows:
+        for line in text.split("\n"):
+            first.setdefault(norm(line), i)
+    for line, i in first.items():
+        assert line in [norm(x) for x in got[i].split("\n")] or len(line.split()) < 3
+    assert got[100] is None and got[101] == ""
