@@ -230,3 +230,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = stored(archived(table(spark, sf_dir, "pages")))
     found = stored(records(archives).drop("payload"))
     return logged(found, scratch(spark)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+#: op3_warc in DuckDB's SQL; the digest's base 32 is put together from groups of five bits.
+SQL = r"""with p as (select page_id, url, coalesce(html, '') as html from pages),
+d as (select page_id, url, strlen(html) as n, sha1(html) as hex from p),
+b as (select *, list_aggregate(list_transform(string_split(hex, ''), lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), 'string_agg', '') as bits from d),
+k as (select *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * cast(substr(bits, 5 * i + 1, 1) as int) + 8 * cast(substr(bits, 5 * i + 2, 1) as int)
++ 4 * cast(substr(bits, 5 * i + 3, 1) as int) + 2 * cast(substr(bits, 5 * i + 4, 1) as int) + cast(substr(bits, 5 * i + 5, 1) as int), 1)), 'string_agg', '') as digest, max(page_id) over (partition by hex) as last from b)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest, case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id <> last then last end as refers_to, url from k"""
