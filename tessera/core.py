@@ -71,6 +71,8 @@ class Collection:
     raw: tuple[DataFrame, Column] | None = None
     #: Universe of the outer levels of a nested table.
     outer: DataFrame | None = None
+    #: Of a scalar: what it is an aggregate of, and steps (names, function of a frame and a window) that make it beside those records.
+    origin: tuple[DataFrame, tuple] | None = None
 
     # guards
     def __reduce__(self):
@@ -91,7 +93,7 @@ class Collection:
             raise ValueError(f"{what} needs a finite input")
 
     def _with(self, df: DataFrame, order: tuple = ()) -> Collection:
-        return replace(self, df=df, order=order, raw=None)
+        return replace(self, df=df, order=order, raw=None, origin=None)
 
     def _kept(self) -> DataFrame | None:
         """The groups, to keep those that an operator may empty."""
@@ -305,7 +307,9 @@ class Collection:
         self._finite("count")
         if self.raw is not None:
             return Scalar(self.raw[0].groupBy(*self.keys).agg(F.count_if(self.raw[1]).alias(into)), self.keys)
-        return Scalar(self._zeroed(self.df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias(into)), {into: F.lit(0).cast("long")}), self.keys)
+        step = ((into,), lambda df, w: df.withColumn(into, F.count(F.lit(1)).over(w)))
+        out = self._zeroed(self.df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias(into)), {into: F.lit(0).cast("long")})
+        return Scalar(out, self.keys, origin=(self.df, (step,)) if self.keys else None)
 
     def _reduced(self, made: Column, name: str) -> Scalar:
         """An aggregate that gives nothing for nothing."""
@@ -445,6 +449,13 @@ class Collection:
             ranked = self.df.withColumn("__rn", F.row_number().over(self._window())).where(F.col("__rn") <= n)
             return replace(self._with(ranked.drop("__rn")), universe=self.universe)
         size = n._only
+        if n.origin is not None and n.origin[0] is self.df and n.keys == self.keys and not {x for names, _ in n.origin[1] for x in names} & set(self.df.columns):
+            # an aggregate of the same groups: one sort gives it beside the ranks
+            whole, df = self._window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), self.df
+            for _, step in n.origin[1]:
+                df = step(df, whole)
+            ranked = df.withColumn("__rn", F.row_number().over(self._window())).where(F.col("__rn") <= F.col(size))
+            return self._thinned(ranked.select(*self.df.columns))
         ranked = self.with_side(n.map(__n=F.col(size))).df.withColumn("__rn", F.row_number().over(self._window())).where(F.col("__rn") <= F.col("__n"))
         return self._thinned(ranked.drop("__rn", "__n"))
 
@@ -465,7 +476,7 @@ class Collection:
         return self.top(n, *by, reverse=False)
 
     def running(self, **fields: Column) -> Collection:
-        """Running aggregates over the order of a sort before it."""
+        """Running aggregates over the order of a sort before it; without keys all records go through one task."""
         self._finite("running")
         w = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return self._with(self.df.withColumns({n: c.over(w) for n, c in fields.items()}))
@@ -565,7 +576,11 @@ class Scalar(Collection):
 
     def map(self, fn: Callable | None = None, *sides, returns: str | None = None, **fields) -> Scalar:
         out = super().map(fn, *sides, returns=returns, **fields)
-        return Scalar(out.df, self.keys, self.universe)
+        origin = None
+        if fn is None and self.origin is not None:
+            plain = self._plain(fields)
+            origin = (self.origin[0], (*self.origin[1], (tuple(fields), lambda df, w: df.withColumns(dict(zip(fields, plain, strict=True))))))
+        return Scalar(out.df, self.keys, self.universe, origin=origin)
 
     select = map
 

@@ -112,6 +112,9 @@ def test_orders_and_tops(spark):
     assert [r.x for r in xs.max_elements(8).get()] == [9, 9, 8, 7, 6, 5, 4, 4]
     assert sorted(r.x for r in xs.min_elements(8).get()) == [0, 1, 2, 3, 4, 4, 5, 6]
     t = table(spark, {"A": [3, 7, 1, 9, 2, 8], "B": [2]})
+    half = t.count("n").map(half=F.floor(F.col("n") / 2))
+    assert rows(t.sort_by("v").take(half)) == [("A", 1), ("A", 2), ("A", 3)] == rows(t.sort_by("v").take(half.as_scalar()))
+    assert rows(t.update(n=F.lit(1)).sort_by("v").take(half).map(v="v")) == [("A", 1), ("A", 2), ("A", 3)]
     assert len(rows(t.take(t.count()))) == 7 and rows(t.top(t.count() / 2)) == [("A", 7), ("A", 8), ("A", 9)]
 
 
