@@ -261,5 +261,6 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """predicted() of all documents by a model of those outside the held-out part."""
     docs = table(spark, sf_dir, "documents")
     return predicted(docs, fit(docs.where(~held_out("doc_id"))))

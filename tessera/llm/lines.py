@@ -92,7 +92,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     fewer than `sentence_words`: they go with neighbours that make up as many words and repeat with
     them. Of each sentence that goes, an earlier occurrence stays. Case and white space are ignored. Null and empty
     texts have no units. Rows with the same id and text are one document in two
-    rows: both get the same result. Null ids rank first. Other columns are not read.
+    rows: both get the same result. Null ids rank first. Long texts are cut
+    into units whole. An empty table gives no rows. Other columns are not read.
     """
     text = F.col("text")
     src = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), "text")
@@ -128,6 +129,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repeated() of all documents; spans as text, start:stop and comma-joined."""
     r = F.col("removed")
     return repeated(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_units", F.size(r).cast("long").alias("n_spans"), F.aggregate(r, F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]).alias("n_removed"),

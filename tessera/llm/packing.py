@@ -183,4 +183,5 @@ def digests(pieces: DataFrame) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of all documents, in sequences of 1,024 tokens."""
     return digests(pack(table(spark, sf_dir, "documents")))

@@ -294,6 +294,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(found: DataFrame) -> DataFrame:
+    """Counts of each base kind, of all spans, and the spans as text and as a hash."""
     base = F.filter("spans", lambda c: c["base"])
     count = lambda k: F.size(F.filter("spans", lambda c: c["kord"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS[:BASE]], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS[:BASE]], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

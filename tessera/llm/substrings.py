@@ -342,6 +342,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repeated_bytes() of all documents, in counts."""
     removed = F.col("removed")
     return repeated_bytes(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", F.aggregate(removed, F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]).alias("n_removed"), F.size(removed).cast("long").alias("n_spans"), "kept_sha256", F.col("near").alias("n_near")

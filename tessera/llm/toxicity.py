@@ -271,5 +271,6 @@ def accepted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scored() of all documents by a model of the labels outside the held-out part."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return scored(docs, fit(docs, labels.where(~held_out("doc_id"))))

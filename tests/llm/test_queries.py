@@ -38,6 +38,8 @@ def test_query_gives_its_columns_for_all_rows(spark, name):
         assert sorted(r.doc_id for r in rows) == sorted(docs)
     if name == "op1_gif":
         assert all(r.n_bytes == size(r.doc_id) and r.payload_bytes == max(576, -(-r.n_bytes // 576) * 576) for r in rows)
+    if name == "op5_pii":
+        assert all(r.n_spans == len([x for x in r.spans.split(",") if x]) >= r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows)
     if name in ("op4_toxicity", "op7_langid"):
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
     if name == "op4_toxicity":
