@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,5 +90,15 @@ def dropped(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def shared(spark: SparkSession, value) -> Broadcast:
+    """value for all tasks, with the classes of this subpackage by value: a broadcast itself names them, and executors may not have them."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def taken(b: Broadcast):
+    """What shared() was given; a task calls it once."""
+    return pickle.loads(b.value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed, pick, stored, table
+from tessera.llm.common import keyed, pick, shared, stored, table, taken
 from tessera.llm.shingles import mixed, word_hashes
 
 BITS = 18
@@ -96,19 +96,19 @@ def _times(owner, col, val, dense: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _sketched(shared, size: int):
+def _sketched(start, size: int):
     """The task's share of A'(A M): A has a row for each passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, m, slot = shared.value
+        idf, m, slot = start.value
         total, some = np.zeros_like(m), False
         for b in batches:
             for text in b.column(0):
                 w = slot[buckets(word_hashes((text.as_py() or "").encode("utf-8", "surrogatepass")))]
-                start = passages(w, size)
-                if len(start):
-                    owner, col, val = _rows(w, start, size, idf)
-                    y = _times(owner, col, val, m, len(start))
+                begin = passages(w, size)
+                if len(begin):
+                    owner, col, val = _rows(w, begin, size, idf)
+                    y = _times(owner, col, val, m, len(begin))
                     np.add.at(total, col, val[:, None] * y[owner])
                     some = True
         if some:
@@ -135,9 +135,9 @@ def latent_basis(sample: DataFrame, idf: np.ndarray, size: int, rank: int, round
     slot = np.arange(SIZE, dtype=np.int32) if slot is None else slot  # a bucket's row
     m = np.random.default_rng(11).standard_normal((len(idf), rank), dtype=np.float32)
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((idf, m, slot))
-        got = sample.mapInArrow(_sketched(shared, size), "part binary").repartition(1).mapInArrow(_joined, "part binary").first()
-        shared.unpersist()
+        start = spark.sparkContext.broadcast((idf, m, slot))
+        got = sample.mapInArrow(_sketched(start, size), "part binary").repartition(1).mapInArrow(_joined, "part binary").first()
+        start.unpersist()
         if got is None:
             break
         m = np.linalg.qr(np.frombuffer(got.part, np.float32).reshape(len(idf), rank))[0].astype(np.float32)
@@ -241,7 +241,7 @@ def _likeness(item: np.ndarray, passage: np.ndarray, idf: np.ndarray) -> float:
     return y / float(np.linalg.norm(x)) / float(np.sqrt(np.maximum((idf[b].astype(np.float64) ** 2).sum(), 1e-9)))
 
 
-def _search(shared, cosine: float, common: float, answer_words: int, answer: float):
+def _search(index, cosine: float, common: float, answer_words: int, answer: float):
     names, types = [x.split()[0] for x in FOUND.split(", ")], (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int32())
 
     def found(ix: Index, held: list[tuple[int, int, np.ndarray]]) -> list[tuple]:
@@ -297,7 +297,7 @@ def _search(shared, cosine: float, common: float, answer_words: int, answer: flo
         return [(d, h, ix.items[k], *v, len(x)) for (d, h, x), known in zip(held, best, strict=True) for k, v in known.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        ix = taken(index)
         for b in batches:
             out, held, n = [], [], 0
             for d, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -366,8 +366,8 @@ def _leaks(src: DataFrame, items: DataFrame, rank: int, size: int, cosine: float
         blocks.append(Block(first, rows, most, likeness))
         size_of += likeness.nbytes + rows.nbytes + most.nbytes
         if size_of > 1 << 26 or last == len(words):
-            shared = spark.sparkContext.broadcast(Index(names, words, blocks, verbatim(words[blocks[0].first : last], blocks[0].first), size, idf, slot))
-            parts.append(src.mapInArrow(_search(shared, cosine, common, answer_words, answer), FOUND))
+            index = shared(spark, Index(names, words, blocks, verbatim(words[blocks[0].first : last], blocks[0].first), size, idf, slot))
+            parts.append(src.mapInArrow(_search(index, cosine, common, answer_words, answer), FOUND))
             blocks, size_of = [], 0
     return reduce(DataFrame.unionByName, parts)
 

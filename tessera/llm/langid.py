@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, pick, table
+from tessera.llm.common import held_out, pick, shared, table, taken
 
 BITS = 16
 SIZE = 1 << BITS
@@ -238,9 +238,9 @@ def _scored(model: Model):
     return run
 
 
-def _predicted(shared):
+def _predicted(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = taken(held)
         for b in batches:
             got = [model.predict(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -255,9 +255,9 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     The model is broadcast; its size is fixed by SIZE and the number of languages.
     Rows with equal texts get equal predictions; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
     src = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return src.mapInArrow(_predicted(shared), PREDICTED)
+    return src.mapInArrow(_predicted(held), PREDICTED)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

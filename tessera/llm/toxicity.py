@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, pick, table
+from tessera.llm.common import held_out, pick, shared, table, taken
 
 WORD = re.compile(r"[^\W_]+", re.UNICODE)
 #: Length of a beginning that may be a term.
@@ -232,9 +232,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(terms, logistic(x, y).tolist() if len(rows) else prior)
 
 
-def _scores(shared):
+def _scores(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = taken(held)
         lexicon, w = Lexicon(model.terms), model.weights
         for b in batches:
             z = [sum(p * q for p, q in zip(features(t.as_py() or "", lexicon), w, strict=True)) for t in b.column(b.num_columns - 1)]
@@ -249,19 +249,20 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     An empty table gives no rows; repeated rows each have one; long texts are read whole, word by word. The model is broadcast; `most_terms` bounds it. Equal texts get equal scores. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
     src = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return src.mapInArrow(_scores(shared), SCORED)
+    return src.mapInArrow(_scores(held), SCORED)
 
 
 def accepted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs without those that score at least `threshold`; columns of any names stay as they are, repeated rows stay or go together,
     and null and empty texts are judged as texts without a match."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    held, names = shared(docs.sparkSession, model), docs.columns
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, w = Lexicon(shared.value.terms), shared.value.weights
+        own = taken(held)
+        lexicon, w = Lexicon(own.terms), own.weights
         bar = math.log(threshold / (1 - threshold))
         for b in batches:
             z = [sum(p * q for p, q in zip(features(t.as_py() or "", lexicon), w, strict=True)) for t in b.column(at)]
