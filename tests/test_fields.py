@@ -152,6 +152,23 @@ def test_windows(spark, tmp_path):
         windows.window_into(p, "ts")
 
 
+def test_lines_again_and_again(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text("x\ny\n")
+    q = windows.repeated_lines(spark, str(tmp_path / "in"), rows_per_second=5).writeStream.format("memory").queryName("again").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            q.processAllAvailable()
+            ticks = {}
+            for r in spark.table("again").collect():
+                ticks.setdefault(r.tick, []).append(r.value)
+            if len(ticks) > 2:
+                break
+    finally:
+        q.stop()
+    assert len(ticks) > 2 and all(sorted(v) == ["x", "y"] for v in ticks.values())
+
+
 def test_late_rows_and_pair_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i, lines in enumerate([["a\t2024-01-01 00:01:00"], ["a\t2024-01-01 01:00:00"], ["a\t2024-01-01 01:01:00"], ["a\t2024-01-01 00:02:00", "a\t2024-01-01 02:00:00"]]):
