@@ -485,3 +485,88 @@ def user_source(s, d):
 def window_sliding(s, d):
     t = windows.window_into(of(s, d, "events").group_by("event_type"), "ts", "60 minutes", slide="30 minutes").count("n")
     return t.df.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query("select o_custkey as k from orders intersect select s_suppkey from supplier")
+def one_row_per_key(s, d):
+    return rel.one_per_key(of(s, d, "orders").map(k="o_custkey"), of(s, d, "supplier").map(k="s_suppkey"), ["k"]).df
+
+
+@query("select o_custkey, count(*) filter (where o_orderstatus = 'P') = 0 as empty from orders group by 1")
+def empty_groups(s, d):
+    return of(s, d, "orders", "o_custkey", "o_orderstatus").group_by("o_custkey").filter("o_orderstatus = 'P'").is_empty().flatten()
+
+
+@query("select distinct l_returnflag, l_linestatus from lineitem")
+def keys_of_two_levels(s, d):
+    return of(s, d, "lineitem", "l_returnflag", "l_linestatus", "l_linenumber").group_by("l_returnflag").group_by("l_linestatus").extract_keys(2)
+
+
+@query("select o_orderpriority as p, count(*) + (select count(*) from supplier) as count from orders group by 1")
+def collection_in_every_group(s, d):
+    t = of(s, d, "orders").map(p="o_orderpriority", k="o_custkey").group_by("p")
+    return t.apply_values(lambda own, more: rel.union(own, more).count(), of(s, d, "supplier").map(k="s_suppkey")).flatten()
+
+
+@query("select n_nationkey as x from nation union all select c_custkey from customer union all select s_nationkey from supplier")
+def union_widened(s, d):
+    return rel.union(of(s, d, "nation").map(x="n_nationkey"), of(s, d, "customer").map(x="c_custkey"), of(s, d, "supplier").map(other="s_nationkey")).df
+
+
+def _merged(s, d, how):
+    a, b = of(s, d, "customer").map(key="c_custkey", name="c_name"), of(s, d, "orders").map(key="o_custkey", o_orderkey="o_orderkey", name="o_orderstatus")
+    return rel.merge_join(a, b, ["key"], how).df
+
+
+@query("select c_custkey as key, o_orderkey, c_name as name from customer join orders on c_custkey = o_custkey")
+def merge_inner(s, d):
+    return _merged(s, d, "inner")
+
+
+@query("select c_custkey as key, o_orderkey, c_name as name from customer left join orders on c_custkey = o_custkey")
+def merge_left(s, d):
+    return _merged(s, d, "left")
+
+
+@query("select o_custkey as key, o_orderkey, o_orderstatus as name from orders left join customer on c_custkey = o_custkey")
+def merge_right(s, d):
+    return _merged(s, d, "right")
+
+
+@query("select c_custkey, c_name, s_suppkey, s_name from customer full join supplier on c_custkey = s_suppkey * 3")
+def record_full_join(s, d):
+    a = of(s, d, "customer").map(k="c_custkey", c_custkey="c_custkey", c_name="c_name")
+    b = of(s, d, "supplier").map(k=F.col("s_suppkey") * 3, s_suppkey="s_suppkey", s_name="s_name")
+    return fields.full_join(a, b, fields="k").df.select("_0.c_custkey", "_0.c_name", "_1.s_suppkey", "_1.s_name")
+
+
+@query("select count(*) as records, sum(n) as total from (select 1 as n from orders)")
+def every_record_a_group(s, d):
+    t = of(s, d, "orders", "o_orderkey").group_by_every_record().count("n")
+    return Collection(t.df.select("n")).agg(records=F.count(F.lit(1)), total=F.sum("n")).df
+
+
+@query("select o_custkey, count(*) n, cast(sum(o_orderkey) as bigint) total, max(o_totalprice) most from orders group by 1")
+def fields_agg(s, d):
+    t = fields.group_by(of(s, d, "orders"), "o_custkey", "o_orderkey, o_totalprice")
+    return fields.flatten(fields.agg(t, lambda c: {"n": F.count(c.o_orderkey), "total": F.sum(c.o_orderkey), "most": F.max(c.o_totalprice)})).df
+
+
+@query("select p_partkey, p_name, p_size * 2 as p_size, p_brand, p_type, p_retailprice, p_retailprice > 1000 as dear from part")
+def fields_update(s, d):
+    return fields.update(of(s, d, "part"), lambda c: {"p_size": c.p_size * 2, "dear": c.p_retailprice > 1000}).df
+
+
+@query("select user_id, event_type, count(*) n from events group by 1, 2")
+def pipe_lines(s, d):
+    """Through a shell command that puts the fields in another order."""
+    out = text.pipe(of(s, d, "events"), "awk -F'\\t' '{print $2 \"\\t\" $1}'", ["event_type", "user_id"], returns="user_id string, event_type string")
+    return out.update(user_id=F.col("user_id").cast("long"), one=F.lit(1)).group_by("user_id", "event_type").count("n").flatten()
+
+
+@query("select c_nationkey, c_mktsegment from customer")
+def lines_there_and_back(s, d):
+    path = _folder(s)
+    text.write_lines(of(s, d, "customer"), path, F.concat_ws(" ", "c_nationkey", "c_mktsegment"), partitions=3)
+    at = F.split("value", " ", 2)
+    return text.read_lines(s, path).map(c_nationkey=at[0].cast("int"), c_mktsegment=at[1]).df
