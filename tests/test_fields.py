@@ -1,5 +1,7 @@
 """Operators on named fields, and sources and sinks."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,8 +159,8 @@ def test_lines_again_and_again(spark, tmp_path):
     (tmp_path / "in" / "a").write_text("x\ny\n")
     q = windows.repeated_lines(spark, str(tmp_path / "in"), rows_per_second=5).writeStream.format("memory").queryName("again").trigger(processingTime="1 second").start()
     try:
-        for _ in range(60):
-            q.processAllAvailable()
+        for _ in range(120):
+            time.sleep(0.5)
             ticks = {}
             for r in spark.table("again").collect():
                 ticks.setdefault(r.tick, []).append(r.value)
