@@ -79,12 +79,14 @@ def passages(w: np.ndarray, size: int) -> np.ndarray:
     return np.append(np.arange(0, len(w) - size, size // 2), len(w) - size)
 
 
-def _rows(b: np.ndarray, start: np.ndarray, size: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows (indptr-like owner, column, value) of passages."""
+def _rows(b: np.ndarray, start: np.ndarray, size: int, idf: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Sparse rows (indptr-like owner, column, value) of passages, with one more for a whole text of several if so told; and their number."""
     at = [b[s : s + size] for s in start.tolist()]
+    if whole and len(at) > 1:
+        at.append(b)
     owner = np.repeat(np.arange(len(at)), [len(x) for x in at])
     col = np.concatenate(at) if at else np.zeros(0, np.int64)
-    return owner, col, idf[col]
+    return owner, col, idf[col], len(at)
 
 
 def _times(owner, col, val, dense: np.ndarray, n: int) -> np.ndarray:
@@ -96,8 +98,8 @@ def _times(owner, col, val, dense: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _sketched(start, size: int):
-    """The task's share of A'(A M): A has a row for each passage."""
+def _sketched(start, size: int, whole: bool):
+    """The task's share of A'(A M): A has a row for each passage, and if so told for each whole text of several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, m, slot = start.value
@@ -107,8 +109,8 @@ def _sketched(start, size: int):
                 w = slot[buckets(word_hashes((text.as_py() or "").encode("utf-8", "surrogatepass")))]
                 begin = passages(w, size)
                 if len(begin):
-                    owner, col, val = _rows(w, begin, size, idf)
-                    y = _times(owner, col, val, m, len(begin))
+                    owner, col, val, n = _rows(w, begin, size, idf, whole)
+                    y = _times(owner, col, val, m, n)
                     np.add.at(total, col, val[:, None] * y[owner])
                     some = True
         if some:
@@ -127,8 +129,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
 
-def latent_basis(sample: DataFrame, idf: np.ndarray, size: int, rank: int, rounds: int = 2, slot: np.ndarray | None = None) -> np.ndarray:
-    """The leading right singular vectors of the sample's passages: subspace iteration from a random start.
+def latent_basis(sample: DataFrame, idf: np.ndarray, size: int, rank: int, rounds: int = 2, slot: np.ndarray | None = None, whole: bool = False) -> np.ndarray:
+    """The leading right singular vectors of the sample's passages (`whole`: and of its whole texts): subspace iteration from a random start.
 
     Each round every task adds up its share of A'(A M), and the sums are added in Spark."""
     spark = sample.sparkSession
@@ -136,7 +138,7 @@ def latent_basis(sample: DataFrame, idf: np.ndarray, size: int, rank: int, round
     m = np.random.default_rng(11).standard_normal((len(idf), rank), dtype=np.float32)
     for _ in range(rounds):
         start = spark.sparkContext.broadcast((idf, m, slot))
-        got = sample.mapInArrow(_sketched(start, size), "part binary").repartition(1).mapInArrow(_joined, "part binary").first()
+        got = sample.mapInArrow(_sketched(start, size, whole), "part binary").repartition(1).mapInArrow(_joined, "part binary").first()
         start.unpersist()
         if got is None:
             break
@@ -146,9 +148,9 @@ def latent_basis(sample: DataFrame, idf: np.ndarray, size: int, rank: int, round
 
 @dataclass
 class Block:
-    """Items whose passages a basis spans. likeness is the basis, with IDF in it, times the items' vectors of length 1."""
+    """Items in one latent space. likeness is the basis, with IDF in it, times the items' vectors there, so long that a whole copy's cosine is 1."""
 
-    first: int
+    numbers: np.ndarray
     rows: np.ndarray  # a vocabulary word's row of likeness, or -1
     most: np.ndarray  # a vocabulary word's greatest likeness
     likeness: np.ndarray
@@ -167,20 +169,33 @@ class Index:
     slot: np.ndarray  # a bucket's place in the vocabulary of all items, or its length
 
 
-def spanned(words: list[np.ndarray], size: int, rank: int) -> Iterator[tuple[int, int, int]]:
-    """(from, to, rank) of successive items that have at most `rank` passages together; an item of more has its own block and rank."""
-    first, n = 0, 0
-    for i, w in enumerate(words):
-        own = len(passages(w, size))
-        if n and n + own > rank:
-            yield first, i, rank
-            first, n = i, 0
+def dealt(words: list[np.ndarray], numbers: list[int], size: int, most: int) -> Iterator[tuple[list[int], int]]:
+    """Successive items that have at most `most` rows in a sketch together, and the number of rows; an item of more comes alone."""
+    block, n = [], 0
+    for i in numbers:
+        own = len(passages(words[i], size))
+        own += own > 1
+        if block and n + own > most:
+            yield block, n
+            block, n = [], 0
+        block.append(i)
         n += own
-        if n > rank:
-            yield first, i + 1, n
-            first, n = i + 1, 0
-    if n:
-        yield first, len(words), rank
+    if block:
+        yield block, n
+
+
+def surely(likeness: np.ndarray, energy: np.ndarray, least: float, top: float, size: int, cosine: float) -> bool:
+    """If wherever a whole copy of an item stands, one of the passages there reaches the cosine, whatever the words around it.
+
+    likeness, energy: the part of each of the item's words in product and squared length; no word has less than `least` and more than `top`.
+    """
+    n, step = len(likeness), size // 2
+    c, e = (np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)]) for x in (likeness, energy))
+    begin = np.arange(0, n + step, step)[None, :] - np.arange(step)[:, None]
+    lo, hi = np.clip(begin, 0, n), np.clip(begin + size, 0, n)
+    other = size - (hi - lo)
+    reached = c[hi] - c[lo] + other * min(least, 0.0) >= (cosine + 1e-3) * np.sqrt(np.maximum(e[hi] - e[lo] + other * top, 1e-9))
+    return bool((reached & (hi > lo)).any(1).all())
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray]:
@@ -219,15 +234,15 @@ def gram_hashes(w: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def verbatim(words: list[np.ndarray], first: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def verbatim(words: list[np.ndarray], numbers: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each length (up to GRAM words), the sorted hashes of the items' first words, the items' numbers, and a table of 2^16 of hashes' lowest bits."""
     out = {}
-    for n in sorted({min(GRAM, len(w)) for w in words}):
-        own = [i for i, w in enumerate(words) if min(GRAM, len(w)) == n]
+    for n in sorted({min(GRAM, len(words[i])) for i in numbers}):
+        own = [i for i in numbers if min(GRAM, len(words[i])) == n]
         h = np.concatenate([gram_hashes(words[i][:n], n) for i in own])
         order, seen = np.argsort(h, kind="stable"), np.zeros(1 << 16, bool)
         seen[h & np.uint64(0xFFFF)] = True
-        out[n] = h[order], np.array(own)[order] + first, seen
+        out[n] = h[order], np.array(own)[order], seen
     return out
 
 
@@ -257,19 +272,6 @@ def _search(index, cosine: float, common: float, answer_words: int, answer: floa
         length = np.sqrt(np.maximum(energy[stop] - energy[start], 1e-9))
         col = ix.slot[col]
         best: list[dict[int, tuple]] = [{} for _ in held]
-        # whole items word by word: frequent words alone do not reach the cosine beside rare ones
-        for n, (hashes, numbers, seen) in ix.verbatim.items():
-            grams = gram_hashes(w, n)
-            at = np.flatnonzero(seen[grams & np.uint64(0xFFFF)])
-            lo, hi = np.searchsorted(hashes, grams[at]), np.searchsorted(hashes, grams[at], "right")
-            for s, i, j in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-                which = int(np.searchsorted(edge, s, "right")) - 1
-                for k in numbers[i:j].tolist():
-                    item = ix.words[k]
-                    if k not in best[which] and s + len(item) <= edge[which + 1] and np.array_equal(w[s : s + len(item)], item):
-                        p = s - edge[which]
-                        begin = max(0, min(p, len(held[which][2]) - ix.size))
-                        best[which][k] = (_likeness(item, held[which][2][begin : begin + ix.size], ix.idf), 1.0, 1.0, int(begin))
         for block in ix.blocks:
             # no item is more like a passage than the sum of its words' greatest likeness
             most = np.concatenate([[0.0], np.cumsum(block.most[col])])
@@ -281,8 +283,8 @@ def _search(index, cosine: float, common: float, answer_words: int, answer: floa
                 row = block.rows[col[np.arange(len(mine)) + np.repeat(start[some] - np.cumsum(n) + n, n)]]
                 inside = row >= 0
                 sims = _times(mine[inside], row[inside], np.ones(inside.sum(), np.float32), block.likeness, len(some)) / length[some, None]
-                for i, k in zip(*np.nonzero(sims >= cosine), strict=True):
-                    k, which = int(k) + block.first, int(owner[some[i]])
+                for i, c in zip(*np.nonzero(sims >= cosine), strict=True):
+                    k, which = int(block.numbers[c]), int(owner[some[i]])
                     known, text, s = best[which], held[which][2], int(start[some[i]] - edge[which])
                     if k in known and known[k][1] >= 0.95:
                         continue
@@ -293,7 +295,20 @@ def _search(index, cosine: float, common: float, answer_words: int, answer: floa
                     m, used = common_subsequence(item, near)
                     share, tail = m / len(item), float(used[-answer_words:].mean())
                     if share >= common and tail >= answer and (k not in known or share > known[k][1]):
-                        known[k] = (float(sims[i, k - block.first]), share, tail, s)
+                        known[k] = (min(1.0, float(sims[i, c])), share, tail, s)
+        # the exact way for items of frequent words, which alone do not reach the cosine beside rare ones
+        for n, (hashes, numbers, seen) in ix.verbatim.items():
+            grams = gram_hashes(w, n)
+            at = np.flatnonzero(seen[grams & np.uint64(0xFFFF)])
+            lo, hi = np.searchsorted(hashes, grams[at]), np.searchsorted(hashes, grams[at], "right")
+            for s, i, j in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+                which = int(np.searchsorted(edge, s, "right")) - 1
+                for k in numbers[i:j].tolist():
+                    item = ix.words[k]
+                    if best[which].get(k, (0, 0))[1] < 1 and s + len(item) <= edge[which + 1] and np.array_equal(w[s : s + len(item)], item):
+                        p = s - edge[which]
+                        begin = max(0, min(p, len(held[which][2]) - ix.size))
+                        best[which][k] = (_likeness(item, held[which][2][begin : begin + ix.size], ix.idf), 1.0, 1.0, int(begin))
         return [(d, h, ix.items[k], *v, len(x)) for (d, h, x), known in zip(held, best, strict=True) for k, v in known.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,16 +331,18 @@ def _search(index, cosine: float, common: float, answer_words: int, answer: floa
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", rank: int = 256, size: int = 32, cosine: float = 0.17, common: float = 0.5, answer_words: int = 8, answer: float = 0.25, most_items: int = 200_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", rank: int = 256, size: int = 32, cosine: float = 0.17, common: float = 0.5, answer_words: int = 8, answer: float = 0.25, most_items: int = 200_000, held: float = 0.5) -> DataFrame:
     """(doc_id, row_hash, item_id, cosine, common, answer, first_word, words) of documents that hold an item.
 
     A document holds an item if one of its passages has a cosine of at least
     `cosine` with it, a longest common subsequence of at least `common` of its words, and
     at least `answer` of its last `answer_words` words in that; or if it holds all the item's
     words in a row, whatever their weights and number (an item of one word is held wherever that
-    word stands). IDF counts all documents' passages; items are dealt into blocks of at most `rank` passages, each with a basis that
-    spans them; every passage of every document is searched against every block, its length
-    taken in the whole space. Blocks go to every task, about 64 MB of them at a time, and each
+    word stands). IDF counts all documents' passages; items are dealt into blocks of at most `2 * rank` passages, each with the `rank`
+    leading directions of these. Items of which a block's space holds less than `held` of their squared length, or in which a whole copy
+    might stay under the cosine, go into further blocks of at most `rank` passages, which their directions span. Every passage of every document
+    is searched against every block, its length taken in the whole space. Only items of such frequent words that the cosine can't promise whole copies in any
+    space are looked for word by word as well. Blocks go to every task, about 64 MB of them at a time, and each
     such part reads the documents again; so does each part of `most_items` items, into which larger benchmarks are dealt. Null and empty texts and items
     hold nothing, and long texts are searched a few at a time. Repeated rows each count; items of equal texts are each found. An empty table gives no rows,
     and other columns are not read.
@@ -334,12 +351,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = pick(benchmark, item_col, "text").toDF("item", "text").where("item is not null and text is not null")
     parts = 1 + items.count() // most_items
     if parts == 1:
-        return _leaks(src, items, rank, size, cosine, common, answer_words, answer)
-    dealt = [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == i) for i in range(parts)]
-    return reduce(DataFrame.unionByName, [_leaks(src, part, rank, size, cosine, common, answer_words, answer) for part in dealt])
+        return _leaks(src, items, rank, size, cosine, common, answer_words, answer, held)
+    shares = [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == i) for i in range(parts)]
+    return reduce(DataFrame.unionByName, [_leaks(src, part, rank, size, cosine, common, answer_words, answer, held) for part in shares])
 
 
-def _leaks(src: DataFrame, items: DataFrame, rank: int, size: int, cosine: float, common: float, answer_words: int, answer: float) -> DataFrame:
+def _leaks(src: DataFrame, items: DataFrame, rank: int, size: int, cosine: float, common: float, answer_words: int, answer: float, held: float) -> DataFrame:
     spark = src.sparkSession
     items = items.orderBy("item", "text").collect()  # about most_items
     words = [word_hashes(r.text.encode("utf-8", "surrogatepass")) for r in items]
@@ -351,24 +368,57 @@ def _leaks(src: DataFrame, items: DataFrame, rank: int, size: int, cosine: float
     vocabulary = np.unique(buckets(np.concatenate(words)))
     slot = np.full(SIZE, len(vocabulary), np.int32)
     slot[vocabulary] = np.arange(len(vocabulary))
-    parts, blocks, size_of = [], [], 0
-    for first, last, needed in spanned(words, size, rank):
-        own = np.unique(buckets(np.concatenate(words[first:last])))
+    energy, top = idf.astype(np.float64) ** 2, float(idf.max()) ** 2
+    full, weak = np.zeros(len(words)), set()
+    for i, w in enumerate(words):
+        _, at, n = np.unique(buckets(w), return_inverse=True, return_counts=True)
+        full[i] = np.sqrt((n[at] * energy[buckets(w)]).sum())
+        if not surely(n[at] * energy[buckets(w)] / full[i], energy[buckets(w)], 0.0, top, size, cosine):
+            weak.add(i)
+
+    def latent(numbers: list[int], directions: int, n_rows: int) -> tuple[list[Block], list[int]]:
+        """The items' block in a space of so many directions, and those of them that it does not hold: none if it spans all rows."""
+        own = np.unique(buckets(np.concatenate([words[i] for i in numbers])))
         at = np.full(SIZE, -1, np.int32)
         at[own] = np.arange(len(own))
-        fitted = spark.createDataFrame([(t,) for t in texts[first:last]], "text string").coalesce(1)
-        basis = latent_basis(fitted, idf[own], size, min(needed, len(own)), slot=at) * idf[own, None]
-        vectors = np.stack([basis[at[buckets(w)]].sum(0) for w in words[first:last]])
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-        likeness = (basis @ vectors.T).astype(np.float32)
+        fitted = spark.createDataFrame([(texts[i],) for i in numbers], "text string").coalesce(1)
+        basis = latent_basis(fitted, idf[own], size, min(directions, len(own)), slot=at, whole=True) * idf[own, None]
+        columns = [at[buckets(words[i])] for i in numbers]
+        vectors = np.stack([basis[x].sum(0) for x in columns])
+        length = np.linalg.norm(vectors, axis=1)
+        scale = full[numbers] / np.maximum(length**2, held * full[numbers] ** 2)  # a whole copy by itself has 1
+        likeness = (basis @ (vectors * scale[:, None]).T).astype(np.float32)
+        good = np.ones(len(numbers), bool)
+        if directions < n_rows:
+            for c, (i, x) in enumerate(zip(numbers, columns, strict=True)):
+                good[c] = length[c] ** 2 >= held * full[i] ** 2 and (i in weak or surely(likeness[x, c], energy[own[x]], float(likeness[:, c].min()), top, size, cosine))
+        lost = np.array(numbers)[~good].tolist()
+        if not good.any():
+            return [], lost
+        likeness = np.ascontiguousarray(likeness[:, good])
         rows, most = np.full(len(vocabulary) + 1, -1, np.int32), np.zeros(len(vocabulary) + 1, np.float32)
         rows[slot[own]], most[slot[own]] = np.arange(len(own)), likeness.max(1)
-        blocks.append(Block(first, rows, most, likeness))
-        size_of += likeness.nbytes + rows.nbytes + most.nbytes
-        if size_of > 1 << 26 or last == len(words):
-            index = shared(spark, Index(names, words, blocks, verbatim(words[blocks[0].first : last], blocks[0].first), size, idf, slot))
-            parts.append(src.mapInArrow(_search(index, cosine, common, answer_words, answer), FOUND))
-            blocks, size_of = [], 0
+        return [Block(np.array(numbers)[good], rows, most, likeness)], lost
+
+    parts, blocks, size_of, lost = [], [], 0, []
+
+    def search() -> None:
+        exact = verbatim(words, [i for block in blocks for i in block.numbers.tolist() if i in weak])
+        index = shared(spark, Index(names, words, blocks, exact, size, idf, slot))
+        parts.append(src.mapInArrow(_search(index, cosine, common, answer_words, answer), FOUND))
+
+    for spans in (False, True):
+        todo, lost = lost if spans else list(range(len(words))), []
+        for numbers, n in dealt(words, todo, size, rank if spans else 2 * rank):
+            got, more = latent(numbers, n if spans else min(n, max(rank, n // 2)), n)
+            blocks += got
+            size_of += sum(b.likeness.nbytes + b.rows.nbytes + b.most.nbytes for b in got)
+            lost += more
+            if size_of > 1 << 26:
+                search()
+                blocks, size_of = [], 0
+    if blocks:
+        search()
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -153,3 +153,25 @@ def test_stage_takes_columns_of_any_names(spark):
     bench = spark.createDataFrame([(7, "one two three four five six")], "item_id long, text string")
     kept = decontam.without_leaks(docs, bench)
     assert kept.columns == docs.columns and sorted(k.row_hash for k in kept.collect()) == [4, 5]
+
+
+def test_whole_items_are_found_through_the_latent_space_alone(spark, monkeypatch):
+    r = random.Random(12)
+    some = lambda n: [f"w{r.randrange(4000)}" for _ in range(n)]
+    items = [some(r.randint(14, 60)) for _ in range(60)]
+    rows = [(i, some(r.randint(0, 60)) + (items[i % 60] if i < 240 else []) + some(r.randint(0, 60))) for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    basis, seen = decontam.latent_basis, []
+
+    def noted(sample, idf, size, rank, *args, **named):
+        n = [len(decontam.passages(np.zeros(len(t.text.split())), size)) for t in sample.collect()]
+        seen.append((sum(n) + sum(x > 1 for x in n), rank))
+        return basis(sample, idf, size, rank, *args, **named)
+
+    monkeypatch.setattr(decontam, "latent_basis", noted)
+    found = decontam.leaks(docs, bench, rank=16).collect()
+    assert {(f.doc_id, f.item_id) for f in found} == {(i, i % 60) for i in range(240)} and all(f.common == 1 for f in found)
+    assert any(rank < n for n, rank in seen)  # a space of fewer directions than it has passages
+    monkeypatch.setattr(decontam, "latent_basis", lambda sample, idf, size, rank, *args, **named: np.zeros((len(idf), rank), np.float32))
+    assert decontam.leaks(docs, bench, rank=16).count() == 0
