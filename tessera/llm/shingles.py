@@ -75,11 +75,11 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """word_hashes() of the texts raw[at[i]:at[i + 1]] together, and where each text's begin (and the last's end)."""
+def words_of(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() of the texts raw[at[i]:at[i + 1]] together, and where each text's begin (and the last's end). Unless `lower`, case counts."""
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    b = _LOWER[raw]
+    b = _LOWER[raw] if lower else raw
     inside = ~_SPACE[b]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]

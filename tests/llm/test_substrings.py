@@ -53,3 +53,19 @@ def test_removal_equals_brute_force(spark, run_rows):
         i = 20 if g.doc_id is None else g.doc_id
         assert (g.n_bytes, [(s.start, s.stop) for s in g.removed], g.kept_sha256) == want[i], i
     assert substrings.repeated_bytes(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("run_rows", [20_000, 2])
+def test_passages_of_other_documents_are_counted(spark, run_rows):
+    r = random.Random(8)
+    some = lambda n: [r.choice("abcdefghijklmnop") + r.choice(["", "é", "zz"]) for _ in range(n)]
+    passages = [some(n) for n in (40, 50, 51, 52, 60, 90, 130)]
+    texts = [" ".join(sum((r.choice([passages[r.randrange(7)][r.choice([0, 0, 4]) :], some(30)]) for _ in range(r.randint(0, 4))), some(r.randint(0, 20)))) for _ in range(60)]
+    twice, copied, loud = " ".join(some(60)), " ".join(some(70)), " ".join(some(55))
+    # repeated within one document alone; copies; too short; other white space; other case; one word over and over
+    texts += [None, "", f"{twice} x {twice}", copied, copied, "short", "short", copied.replace(" ", "\n\t"), loud, loud.upper(), "ab " * 100, "ab " * 70]
+    shingles = [{tuple(w[k : k + 51]) for w in [(t or "").split()] for k in range(len(w) - 50)} for t in texts]
+    want = [sum(any(s in other for j, other in enumerate(shingles) if j != i) for s in own) for i, own in enumerate(shingles)]
+    assert want[60:] == [0, 0, 0, 20, 20, 0, 0, 20, 0, 0, 1, 1] and sum(w > 0 for w in want[:60]) > 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {g.doc_id: g.passages for g in substrings.repeated_bytes(df, run_rows=run_rows).collect()} == dict(enumerate(want))
