@@ -36,37 +36,33 @@ WIDTH = 8
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
-def window_hashes(h: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the `size`-byte strings at `start`, from prefix hashes h."""
-    _, down = powers(int(start.max(initial=0)) + 1)
-    return mixed((h[start + size] - h[start]) * down[start] + np.uint64(size))
+def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all strings of `size` units, from prefix hashes h."""
+    n = max(0, len(h) - size)
+    _, down = powers(n + 1)
+    return mixed((h[size:] - h[:n]) * down[:n] + np.uint64(size))
 
 
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
-    """The place of the least value (ties: the rightmost) in each run of w, by block minima from both sides."""
-    n = len(x)
-    pad = -n % w
-    y = np.concatenate([x, np.full(pad, np.iinfo(np.uint64).max, np.uint64)])
-    at = np.arange(len(y))
-
+    """The place of the least value (ties: the rightmost) in each run of w, by block minima from both sides. Values leave as many
+    of the highest bits free as a place within a block needs, w - 1 at most."""
+    n, bits = len(x), (w - 1).bit_length()
+    shift = np.uint64(bits)
+    y = np.full(n + -n % w, np.iinfo(np.uint64).max, np.uint64)
+    y[:n] = x << shift
     v = y.reshape(-1, w)
-    low = np.minimum.accumulate(v, axis=1)
-    fresh = np.concatenate([np.ones((len(v), 1), bool), v[:, 1:] <= low[:, :-1]], axis=1)
-    left_v, left_i = low.ravel(), at // w * w + np.maximum.accumulate(np.where(fresh, np.arange(w), 0), axis=1).ravel()
-    # from the right: reversed blocks, where the rightmost of equals is met first and must stay
-    rv = y.reshape(-1, w)[:, ::-1]
-    low = np.minimum.accumulate(rv, axis=1)
-    fresh = np.concatenate([np.ones((len(rv), 1), bool), rv[:, 1:] < low[:, :-1]], axis=1)
-    ri = np.maximum.accumulate(np.where(fresh, np.arange(w), 0), axis=1)
-    right_v, right_i = low[:, ::-1].ravel(), at // w * w + (w - 1 - ri[:, ::-1].ravel())
+    v |= np.arange(w - 1, -1, -1, dtype=np.uint64)
+    left = np.minimum.accumulate(v, axis=1).ravel()[w - 1 : n]
+    right = np.minimum.accumulate(v[:, ::-1], axis=1)[:, ::-1].ravel()[: n - w + 1]
+    later = left >> shift <= right >> shift
     s = np.arange(n - w + 1)
-    e = s + w - 1
-    return np.where(left_v[e] <= right_v[s], left_i[e], right_i[s])
+    back = (np.where(later, left, right) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return np.where(later, s + w - 1, s) // w * w + (w - 1 - back)
 
 
 def first_windows(h: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
     """For the windows at 0, 1 and so on, which belong to the texts `owner`: whether its text has none like it before."""
-    x = mixed(window_hashes(h, np.arange(len(owner)), length) ^ mixed(owner.astype(np.uint64) + _SALT))
+    x = mixed(window_hashes(h, length) ^ mixed(owner.astype(np.uint64) + _SALT))
     first = np.zeros(len(x), bool)
     first[np.unique(x, return_index=True)[1]] = True
     return first
@@ -78,11 +74,11 @@ def anchors(h: np.ndarray, at: np.ndarray, length: int, gram: int, once: bool =
     none = np.zeros(0, np.int64)
     if len(h) - 1 < length:
         return none, none, none, none
-    g = window_hashes(h, np.arange(len(h) - gram), gram) ^ _SALT
-    a = sliding_argmin(mixed(g), length - gram + 1)
+    run = length - gram + 1
+    a = sliding_argmin(mixed(window_hashes(h, gram) ^ _SALT) >> np.uint64((run - 1).bit_length()), run)
     # windows that lie within a text
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(a)]
-    taken = np.arange(len(a)) + length <= at[owner + 1]
+    owner, stop = (np.repeat(x, np.diff(at))[: len(a)] for x in (np.arange(len(at) - 1), at[1:]))
+    taken = np.arange(length, len(a) + length) <= stop
     if once:
         taken &= first_windows(h, owner, length)
     new = (a[1:] != a[:-1]) | (owner[1:] != owner[:-1])
